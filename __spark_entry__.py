@@ -2,8 +2,9 @@
 
 Pull-request queries run the whole way from the ``orders`` table: orders become
 JSON pages, pages are shredded strictly, and the operators work on the rows.
-Dates leave as ISO text, because DuckDB and Spark hand DATE to pandas differently;
-averages are rounded, because summation order differs.
+Dates leave as ISO text, because DuckDB and Spark hand DATE to pandas differently.
+Averages are taken over exact sums (whole microseconds, decimals) on both sides, so
+that neither summation order nor rounding of halves can tell the results apart.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from mergetide.functions.dates import (
     DAY_US,
     calendar_age_days,
+    calendar_age_us,
     day_bin,
     elapsed_days,
     timestamp_lit,
@@ -72,7 +74,7 @@ def _text(date: str, name: str | None = None) -> Column:
 
 
 def _durations(df: DataFrame) -> DataFrame:
-    return df.select(_text("day"), "repo", F.round("duration", 6).alias("duration"))
+    return df.select(_text("day"), "repo", "duration")
 
 
 def _counts(df: DataFrame) -> DataFrame:
@@ -219,22 +221,27 @@ def rolling_avg_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = (
         metrics.latest_pulls(_pulls(spark, sf_dir))
         .where(F.col("merged_at").isNotNull())
-        .select("url", "repo", "created_at", calendar_age_days("merged_at", "created_at").alias("age"))
+        .select(
+            "url",
+            "repo",
+            "created_at",
+            calendar_age_us("merged_at", "created_at").cast("decimal(20,0)").alias("age_us"),
+        )
     )
-    rolled = rolling_range_avg(merged, ["repo"], "created_at", "age", 30 * DAY_US, "duration")
-    return rolled.select("url", "repo", "created_at", F.round("duration", 6).alias("duration"))
+    rolled = rolling_range_avg(merged, ["repo"], "created_at", "age_us", 30 * DAY_US, "mean_us")
+    return rolled.select("url", "repo", "created_at", (F.col("mean_us") / DAY_US).alias("duration"))
 
 
 def rolling_avg_events_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    events = _table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
     rolled = rolling_range_avg(events, ["event_type"], "ts", "value", 3 * DAY_US, "mean_value")
-    return rolled.select("event_id", "event_type", F.round("mean_value", 6).alias("mean_value"))
+    return rolled.select("event_id", "event_type", "mean_value")
 
 
 def rolling_avg_events_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    events = _table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
     rolled = rolling_range_avg(events, ["user_id"], "ts", "value", 3 * DAY_US, "mean_value", method="plain")
-    return rolled.select("event_id", "user_id", F.round("mean_value", 6).alias("mean_value"))
+    return rolled.select("event_id", "user_id", "mean_value")
 
 
 def _clicks_and_purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -316,7 +323,7 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both charts in one table."""
     both = metrics.overview(_pulls(spark, sf_dir), SHORT_START, SHORT_END)
     durations = both.durations.select(
-        F.lit("duration").alias("chart"), _text("day"), "repo", F.round("duration", 6).alias("amount")
+        F.lit("duration").alias("chart"), _text("day"), "repo", F.col("duration").alias("amount")
     )
     counts = both.counts.select(
         F.lit("closed").alias("chart"), _text("bin", "day"), "repo", F.col("count").cast("double").alias("amount")
@@ -425,7 +432,7 @@ ADHOC = {
     ),
     "adhoc_sql_grouping_sets": (
         """
-        select l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus) as level,
+        select l_returnflag, l_linestatus, cast(grouping_id(l_returnflag, l_linestatus) as bigint) as level,
                count(*) as lines, round(sum(l_quantity), 2) as quantity
         from {lineitem} group by cube (l_returnflag, l_linestatus)
         """,
@@ -434,9 +441,9 @@ ADHOC = {
     "adhoc_sql_rank_windows": (
         """
         select o_orderkey, o_custkey,
-               rank() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth,
+               cast(rank() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as nth,
                lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as previous,
-               ntile(4) over (partition by o_custkey order by o_orderdate, o_orderkey) as quarter
+               cast(ntile(4) over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as quarter
         from {orders}
         """,
         ("orders",),
@@ -452,17 +459,17 @@ ADHOC = {
     ),
     "adhoc_sql_text_functions": (
         """
-        select p_partkey, upper(p_brand) as brand, regexp_replace(p_name, '[aeiou]', '*') as masked,
-               length(p_type) as type_length, substring(p_name, 1, 5) as start
+        select p_partkey, upper(p_brand) as brand, regexp_replace(p_name, '^[a-z]+', '*') as masked,
+               cast(length(p_type) as integer) as type_length, substring(p_name, 1, 5) as start
         from {part}
         """,
         ("part",),
     ),
     "adhoc_sql_time_bins": (
         """
-        select cast(date_trunc('hour', ts) as timestamp) as hour, event_type,
+        select cast(cast(ts as date) as varchar(10)) as day, cast(extract(hour from ts) as bigint) as hour, event_type,
                count(*) as events, round(sum(value), 4) as total
-        from {events} group by date_trunc('hour', ts), event_type
+        from {events} group by cast(ts as date), extract(hour from ts), event_type
         """,
         ("events",),
     ),
@@ -601,6 +608,14 @@ marks as (
 )
 
 
+# Mean of epoch(age(merged_at, created_at)) / 86400 over the 30 days up to created_at, summed in whole microseconds.
+_MEAN_AGE = """cast(sum(cast(round(epoch(age(merged_at, created_at)) * 1000000) as hugeint)) over thirty as double)
+           / count(age(merged_at, created_at)) over thirty / 86400000000"""
+_THIRTY = """window thirty as (
+        partition by repo order by created_at
+        range between interval 30 days preceding and interval 0 days following)"""
+
+
 def _list(repos: list[str]) -> str:
     return ", ".join(f"'{r}'" for r in repos)
 
@@ -616,17 +631,16 @@ calendar as (
 ),
 rolling as (
     select repo, url, created_at, cast(merged_at as date) as merged_date,
-           avg(epoch(age(merged_at, created_at)) / 86400) over (
-               partition by repo order by created_at
-               range between interval 30 days preceding and interval 0 days following) as duration
+           {_MEAN_AGE} as duration
     from latest where merged_at is not null and {chosen}
+    {_THIRTY}
 ),
 picks as (
     select * from rolling
     qualify row_number() over (partition by repo, merged_date order by created_at desc, url desc) = 1
 ),
 durations as (
-    select cast(c.day as varchar) as day, p.repo, round(avg(p.duration), 6) as duration
+    select cast(c.day as varchar) as day, p.repo, avg(p.duration) as duration
     from (select day, repo from calendar cross join listed) c
     asof left join picks p on c.repo = p.repo and c.day >= p.merged_date
     group by c.day, p.repo
@@ -723,14 +737,14 @@ def oracle_sql() -> dict[str, str]:
             select preset, cast(lo as varchar) as start_day, cast(hi as varchar) as end_day, count(o_orderkey) as orders
             from bounds left join orders on o_orderdate >= lo and o_orderdate <= hi group by preset, lo, hi""",
         "rolling_avg_30d": f"""with {_LATEST} select url, repo, created_at,
-            round(avg(epoch(age(merged_at, created_at)) / 86400) over (
-                partition by repo order by created_at
-                range between interval 30 days preceding and interval 0 days following), 6) as duration
-            from latest where merged_at is not null""",
-        "rolling_avg_events_3d": """select event_id, event_type, round(avg(value) over (partition by event_type
-            order by ts range between interval 3 days preceding and current row), 6) as mean_value from events""",
-        "rolling_avg_events_plain": """select event_id, user_id, round(avg(value) over (partition by user_id
-            order by ts range between interval 3 days preceding and current row), 6) as mean_value from events""",
+            {_MEAN_AGE} as duration
+            from latest where merged_at is not null {_THIRTY}""",
+        "rolling_avg_events_3d": """select event_id, event_type,
+            cast(sum(cast(value as decimal(18, 2))) over w as double) / count(value) over w as mean_value from events
+            window w as (partition by event_type order by ts range between interval 3 days preceding and current row)""",
+        "rolling_avg_events_plain": """select event_id, user_id,
+            cast(sum(cast(value as decimal(18, 2))) over w as double) / count(value) over w as mean_value from events
+            window w as (partition by user_id order by ts range between interval 3 days preceding and current row)""",
         "asof_left_join": f"""{_EVENT_ASOF} select c.event_id, c.user_id, c.ts, p.purchase_id, p.purchase_ts, p.value
             from clicks c asof left join purchases p on c.user_id = p.user_id and c.ts >= p.purchase_ts""",
         "asof_window_join": f"""{_EVENT_ASOF} select c.event_id, c.user_id, c.ts, p.purchase_id, p.value
@@ -781,7 +795,7 @@ def oracle_sql() -> dict[str, str]:
             where s.first_stale is null or p.page_no < s.first_stale""",
         "repo_string_parse": f"with {_PRS} select distinct owner, name as repo from pulls",
         "stream_ingest_equals_batch": f"with {_LATEST} select url, repo, state, updated_at from latest",
-        "adhoc_sql_views": f"""with {_LATEST} select repo, count(*) as items, count_if(state = 'open') as open_items,
+        "adhoc_sql_views": f"""with {_LATEST} select repo, count(*) as items, cast(count_if(state = 'open') as bigint) as open_items,
             count(distinct cast(created_at as date)) as days
             from latest where created_at >= timestamp '1997-01-01 00:00:00' group by repo""",
         "export_roundtrip": f"""with {_closed_sql(SHORT_START, SHORT_END)},

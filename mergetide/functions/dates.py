@@ -43,34 +43,32 @@ def order_key(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} is {kind}; a time or an integer is needed")
 
 
-def calendar_age_us(later: str | Column, earlier: str | Column) -> Column:
+def calendar_age_us(later: str, earlier: str) -> Column:
     """Calendar age in microseconds: whole months first, then the days and time left over.
 
-    Months count 30 days and years 365.25, so the age is exact only within a
-    month: 2024-02-29 to 2024-03-31 is 1 month and 2 days, 32 days in all.
-    Negative if ``later`` comes first.
+    Takes column names or SQL text. Months count 30 days and years 365.25, so the
+    age is exact only within a month: 2024-02-29 to 2024-03-31 is 1 month and 2
+    days, 32 days in all. Negative if ``later`` comes first, NULL from or to NULL.
     """
-    later, earlier = _col(later), _col(earlier)
-    low, high = F.least(later, earlier), F.greatest(later, earlier)
-
-    def time_of_day(ts: Column) -> Column:
-        return micros(ts) - F.unix_date(ts.cast("date")).cast("long") * DAY_US
-
-    time_gap = time_of_day(high) - time_of_day(low)
-    day_borrow = (time_gap < 0).cast("long")
-    day_gap = F.dayofmonth(high) - F.dayofmonth(low) - day_borrow
-    month_borrow = (day_gap < 0).cast("long")
-    days = day_gap + month_borrow * F.dayofmonth(F.last_day(low.cast("date")))
-    months = (F.year(high) - F.year(low)) * 12 + F.month(high) - F.month(low) - month_borrow
-    rest_months = F.pmod(months, F.lit(12))
-    years = ((months - rest_months) / 12).cast("long")
-    size = years * AGE_YEAR_US + rest_months * AGE_MONTH_US + days * DAY_US + time_gap + day_borrow * DAY_US
-    signed = F.when(later < earlier, -size).otherwise(size)
-    # least() and greatest() skip NULLs; an age from or to nowhere is NULL.
-    return F.when(later.isNotNull() & earlier.isNotNull(), signed)
-
-
-def calendar_age_days(later: str | Column, earlier: str | Column) -> Column:
+    low, high = f"least({later}, {earlier})", f"greatest({later}, {earlier})"
+
+    def in_month(ts: str) -> str:
+        """Microseconds since a month's start, but for one day that cancels out."""
+        return f"(dayofmonth({ts}) * {DAY_US}L + pmod(unix_micros(cast({ts} as timestamp)), {DAY_US}L))"
+
+    gap = f"({in_month(high)} - {in_month(low)})"
+    # Short of a whole month: one month back, its length (that of the earlier one) forth.
+    borrow = f"cast({gap} < 0 as int)"
+    months = f"((year({high}) - year({low})) * 12 + month({high}) - month({low}) - {borrow})"
+    size = f"""
+        {months} * {AGE_MONTH_US}L + {months} div 12 * {AGE_YEAR_US - 12 * AGE_MONTH_US}L
+        + {gap} + {borrow} * dayofmonth(last_day({low})) * {DAY_US}L"""
+    # least() and greatest() skip NULLs, so they are ruled out.
+    sign = f"case when {later} < {earlier} then -1 when {later} >= {earlier} then 1 end"
+    return F.expr(f"{sign} * ({size})")
+
+
+def calendar_age_days(later: str, earlier: str) -> Column:
     return calendar_age_us(later, earlier) / DAY_US
 
 

@@ -11,6 +11,7 @@ under any filter on the result, and every declared field is cast.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,35 +29,40 @@ class JsonField:
     path: str
     type: str
 
-    def prefixes(self) -> list[str]:
-        """Paths of the enclosing objects, outermost first."""
-        keys = self.path.split(".")
-        return [".".join(keys[:depth]) for depth in range(1, len(keys))]
+    def __post_init__(self) -> None:
+        if re.search(r"""['"\\\[\]]""", self.path):
+            raise ValueError(f"quotes, brackets and backslashes are not supported in a path: {self.path}")
+
+    def text(self, item: str) -> str:
+        return f"variant_get({item}, {_path(self.path)}, 'string')"
 
+    def missing(self, item: str) -> str:
+        """True where the key is absent. Below an explicit null nothing is absent."""
+        keys = self.path.split(".")
+        above = [f"variant_get({item}, {_path('.'.join(keys[:depth]))})" for depth in range(1, len(keys))]
+        nulls = [f"is_variant_null({parent})" for parent in [item, *above]]
+        explained = " or ".join(f"coalesce({null}, false)" for null in nulls)
+        return f"variant_get({item}, {_path(self.path)}) is null and not ({explained})"
 
-def _at(value: Column, path: str, as_type: str = "variant") -> Column:
-    steps = "".join(f"['{key}']" for key in path.split("."))
-    return F.variant_get(value, "$" + steps, as_type)
 
+def _path(path: str) -> str:
+    """SQL literal of a variant path."""
+    return "'$" + "".join(f'["{key}"]' for key in path.split(".")) + "'"
 
-def _missing(value: Column, field: JsonField) -> Column:
-    """True where the key is absent. Below an explicit null nothing is absent."""
-    absent = _at(value, field.path).isNull() & ~F.is_variant_null(value)
-    for prefix in field.prefixes():
-        absent = absent & ~F.coalesce(F.is_variant_null(_at(value, prefix)), F.lit(False))
-    return absent
 
+def _fault(item: str, fields: Sequence[JsonField], casts: bool) -> Column:
+    """Why an item is unusable, or NULL. ``casts`` also reports values that do not cast.
 
-def _fault(value: Column, fields: Sequence[JsonField], casts: bool) -> Column:
-    """Why an item is unusable, or NULL. ``casts`` also reports values that do not cast."""
-    faults = [F.when(_missing(value, f), F.lit(f"missing key {f.path}")) for f in fields]
+    An empty LEFT match (a page without items) has nothing to check.
+    """
+    cases = [f"when {item} is null then null"]
+    cases += [f"when {f.missing(item)} then 'missing key {f.path}'" for f in fields]
     if casts:
         for f in fields:
-            text = _at(value, f.path, "string")
-            unfit = text.isNotNull() & text.try_cast(f.type).isNull()
-            faults.append(F.when(unfit, F.concat(F.lit(f"bad {f.type} at {f.path}: "), text)))
-    # An empty LEFT match (no item on the page) has nothing to check.
-    return F.when(value.isNotNull(), F.coalesce(*faults))
+            text = f.text(item)
+            unfit = f"{text} is not null and try_cast({text} as {f.type}) is null"
+            cases.append(f"when {unfit} then concat('bad {f.type} at {f.path}: ', {text})")
+    return F.expr(f"case {' '.join(cases)} end")
 
 
 def _is_array_text(text: Column) -> Column:
@@ -104,18 +110,18 @@ def shred(
         df.sparkSession.tvf.variant_explode(parsed).select(F.col("pos").alias(pos), F.col("value").alias("_item")),
         how="left" if (keep_empty or report) else None,
     )
-    item = F.col("_item")
+    item = "_item"
     if not report:
-        record = F.struct(*[_at(item, f.path, "string").cast(f.type).alias(f.name) for f in fields])
+        record = F.struct(*[F.expr(f"cast({f.text(item)} as {f.type})").alias(f.name) for f in fields])
         fault = _fault(item, fields, casts=False)
         checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(record)
         return items.select(*keep, pos, F.inline(F.array(checked)))
 
     # The page itself is at fault if it yields no item although its text is no empty array.
-    unreadable = item.isNull() & ~F.col("_no_items")
+    unreadable = F.col(item).isNull() & ~F.col("_no_items")
     fault = F.when(unreadable, F.lit("not a readable JSON array")).otherwise(_fault(item, fields, casts=True))
     record = F.struct(
-        *[F.when(fault.isNull(), _at(item, f.path, "string").try_cast(f.type)).alias(f.name) for f in fields],
+        *[F.when(fault.isNull(), F.expr(f"try_cast({f.text(item)} as {f.type})")).alias(f.name) for f in fields],
         fault.alias("error"),
     )
     rows = items.select(*keep, pos, F.inline(F.array(record)))

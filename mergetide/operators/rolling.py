@@ -2,17 +2,59 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergetide.operators.keys import join_null_safe
 from mergetide.functions.dates import order_key
+from mergetide.operators.keys import join_null_safe
+
+# Up to this many distinct instants of a key may meet in one task.
+INSTANTS_PER_TASK = 4_000_000
+
+
+def _mean(total: Column, count: Column) -> Column:
+    """One division at the end: a decimal sum stays exact, whatever the order it was taken in."""
+    return F.when(count > 0, total.cast("double") / count)
 
 
-def _bucket(t: str, width: int) -> Column:
-    return F.expr(f"({t} - pmod({t}, {width}L)) div {width}L")
+def _floor_div(value: str, size: int) -> Column:
+    return F.expr(f"({value} - pmod({value}, {size}L)) div {size}L")
+
+
+def _slice_width(width: int) -> int:
+    """The divisor of ``width`` closest to its root from below."""
+    return next(d for d in range(math.isqrt(width), 0, -1) if width % d == 0)
+
+
+def _frame_parts(facts: DataFrame, probes: DataFrame, by: Sequence[str], width: int, bucket: int) -> DataFrame:
+    """``probes`` with ``(_sum, _n)`` parts that add up to the facts at both ends of ``[_at - width, _at]``.
+
+    One part is the facts from the start of the bucket of ``_at`` up to ``_at``,
+    the other the facts from ``_at - width`` to the end of its bucket. With
+    ``bucket == width`` these are neighbours and make up the whole frame. Both
+    are running sums, so the work is linear (Spark computes a sliding frame anew
+    for every row), and sums are only ever added, never subtracted.
+    """
+    at = F.col("_at")
+    head = F.struct(at.alias("_t"), F.lit(True).alias("_head"))
+    tail = F.struct((at - width).alias("_t"), F.lit(False).alias("_head"))
+    # Without a time there is no frame: such probes see the facts without a time.
+    ends = F.when(at.isNull(), F.array(head)).otherwise(F.array(head, tail))
+    rows = facts.unionByName(probes.select("*", F.inline(ends)), allowMissingColumns=True)
+    rows = rows.withColumn("_bucket", _floor_div("_t", bucket))
+
+    group = Window.partitionBy(*by, "_bucket")
+    running = Window.unboundedPreceding, Window.currentRow
+    up_to, from_on = group.orderBy(F.asc("_t")).rangeBetween(*running), group.orderBy(F.desc("_t")).rangeBetween(*running)
+
+    def end(column: str) -> Column:
+        return F.when(F.col("_head"), F.sum(column).over(up_to)).otherwise(F.sum(column).over(from_on))
+
+    parts = rows.withColumns({"_part_sum": end("_sum"), "_part_n": end("_n")}).where(F.col("_head").isNotNull())
+    return parts.select(*probes.columns, F.col("_part_sum").alias("_sum"), F.col("_part_n").alias("_n"))
 
 
 def rolling_avg_at(
@@ -23,38 +65,42 @@ def rolling_avg_at(
     value: str,
     width: int,
     out: str,
+    grain: int = 1,
 ) -> DataFrame:
-    """``probes`` plus the average ``value`` of the ``facts`` of its key in ``[on - width, on]``.
-
-    ``width`` is in microseconds for times. Both ends are inclusive and all facts
-    of one instant count alike; probes with a NULL ``on`` see the facts without one.
-    A key's history never meets in one task:
-
-    1. facts add up per (key, instant) map-side, so a hot key or instant shrinks
-       before it is shuffled;
-    2. an instant goes to its own bucket of ``width`` and to the next one, which
-       is as far as a frame reaches back, so each (key, bucket) is complete.
-
-    A task then holds at most two buckets of distinct instants of a key: with
-    times in whole seconds and 30 days, 5.2 million small rows at the very most.
+    """The distinct ``probes`` plus the average ``value`` of the facts of their key in ``[on - width, on]``.
+
+    ``width`` and ``grain`` are in microseconds for times; ``grain`` is the
+    resolution the times are known to have. Both ends are inclusive and all facts
+    of one instant count alike; a NULL ``on`` sees the facts without one.
+
+    A key's history never meets in one task. Facts add up per (key, instant)
+    map-side, so a hot key or instant shrinks before it is shuffled. Keys are then
+    cut into buckets of ``width``. If a bucket may still hold too many instants,
+    frames are put together from slices of about the root of ``width``: their two
+    ends from instants, the whole slices between from one sum per slice. That
+    holds a task to a few million small rows of a key whatever the data is like.
     """
+    sums = [F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n")]
     t = order_key(facts, on)
     instants = facts.groupBy(*by, t.alias("_t")).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
-    home = _bucket("_t", width)
-    reach = F.when(F.col("_t").isNull(), F.array(home)).otherwise(F.array(home, home + 1))
-    instants = instants.withColumn("_bucket", F.explode(reach))
-
-    carried = F.struct(*[F.col(c) for c in probes.columns])
-    asked = probes.select(*by, order_key(probes, on).alias("_t"), carried.alias("_probe")).withColumn("_bucket", home)
-
-    frame = Window.partitionBy(*by, "_bucket").orderBy("_t").rangeBetween(-width, 0)
-    total, count = F.sum("_sum").over(frame), F.sum("_n").over(frame)
-    return (
-        instants.unionByName(asked, allowMissingColumns=True)
-        .withColumn(out, F.when(count > 0, total.cast("double") / count))
-        .where(F.col("_probe").isNotNull())
-        .select("_probe.*", out)
-    )
+    asked = probes.distinct().withColumn("_at", order_key(probes, on))
+
+    slice_width = _slice_width(width)
+    slices = width // slice_width
+    if width // grain <= INSTANTS_PER_TASK or slices < 3 or slice_width == 1:
+        parts = _frame_parts(instants, asked, by, width, width)
+    else:
+        parts = _frame_parts(instants, asked, by, width, slice_width)
+        per_slice = instants.where(F.col("_t").isNotNull())
+        per_slice = per_slice.groupBy(*by, _floor_div("_t", slice_width).alias("_t")).agg(*sums)
+        # From the slice after the one where the frame starts to the one before it ends.
+        numbered = asked.where(F.col("_at").isNotNull()).withColumn("_last", _floor_div("_at", slice_width) - 1)
+        wanted = numbered.select(*by, F.col("_last").alias("_at")).distinct()
+        between = _frame_parts(per_slice, wanted, by, slices - 2, slices - 2)
+        between = between.groupBy(*by, F.col("_at").alias("_last")).agg(*sums)
+        parts = parts.unionByName(join_null_safe(numbered, between, [*by, "_last"]).drop("_last"))
+
+    return parts.groupBy(*probes.columns).agg(_mean(F.sum("_sum"), F.sum("_n")).alias(out))
 
 
 def rolling_range_avg(
@@ -65,18 +111,18 @@ def rolling_range_avg(
     width: int,
     out: str,
     method: str = "bucketed",
+    grain: int = 1,
 ) -> DataFrame:
     """Each row plus its average over ``[on - width, on]`` within its key.
 
-    ``"plain"`` is one window per key: one shuffle, for keys that fit a task.
-    ``"bucketed"`` holds for any key size: instants are averaged as in
+    ``"plain"`` is one window per key: one shuffle, for keys with little in a
+    frame. ``"bucketed"`` holds for any key: instants are averaged as in
     ``rolling_avg_at`` and joined back, where Spark may split hot partitions.
     """
     if method == "plain":
         frame = Window.partitionBy(*by).orderBy(order_key(df, on)).rangeBetween(-width, 0)
-        return df.withColumn(out, F.avg(value).over(frame))
+        return df.withColumn(out, _mean(F.sum(value).over(frame), F.count(value).over(frame)))
     if method != "bucketed":
         raise ValueError("method is 'plain' or 'bucketed'")
-    probes = df.select(*by, on).distinct()
-    averages = rolling_avg_at(df, probes, by, on, value, width, out)
+    averages = rolling_avg_at(df, df.select(*by, on), by, on, value, width, out, grain)
     return join_null_safe(df, averages, [*by, on])

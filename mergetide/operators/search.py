@@ -19,50 +19,61 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in regex.split(WORD_BREAK, query.lower()) if w))
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
+def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    """``(id, length, tf)`` of every document: its number of words and how often each term occurs.
+
+    Counted inside each row from its whole text; documents are never exploded into words.
+    """
+
+    def occurrences(term: str) -> Column:
+        return F.size("_words") - F.size(F.array_remove("_words", term))
+
+    counts = F.struct(F.size("_words").alias("length"), F.array(*[occurrences(t) for t in terms]).alias("tf"))
+    # As generator input: a filter on the counts cannot be moved below and split the text once more.
+    return docs.select(id_col, words(text_col).alias("_words")).select(id_col, F.inline(F.array(counts)))
+
+
+def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, stage: str | None = None) -> DataFrame:
     """``(id, score)`` of every document with a word of the query.
 
     score = sum over query words of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)),
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)). No stemming, no stop words.
 
-    Term counts are taken inside each row from its whole text: documents are
-    never exploded into words, and nothing but one row of totals is shuffled.
-    The totals reach the second pass as a scalar subquery.
+    Nothing but one row of totals is shuffled; it reaches the scoring pass as a
+    scalar subquery. Text is read twice, or once if ``stage`` names a folder to
+    keep the counts in: a few bytes per document.
     """
     terms = query_terms(query)
     if not terms:
         return docs.select(id_col, F.lit(None).cast("double").alias("score")).where(F.lit(False))
+    counts = term_counts(docs, id_col, text_col, terms)
+    if stage:
+        counts.write.mode("overwrite").parquet(stage)
+        counts = docs.sparkSession.read.schema(counts.schema).parquet(stage)
 
-    def occurrences(term: str) -> Column:
-        return F.size("_words") - F.size(F.array_remove("_words", term))
-
-    counts = (
-        docs.select(id_col, words(text_col).alias("_words"))
-        .withColumn("_tf", F.array(*[occurrences(t) for t in terms]))
-        .select(id_col, F.size("_words").alias("_length"), "_tf")
-    )
     totals = counts.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"),
-            F.avg("_length").alias("mean_length"),
-            F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("df"),
+            F.avg("length").alias("mean_length"),
+            F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"),
         ).alias("totals")
     )
-
     total = F.col("_totals")
-    norm = K1 * (1 - B + B * F.col("_length") / total["mean_length"])
+    norm = K1 * (1 - B + B * F.col("length") / total["mean_length"])
 
     def part(i: int) -> Column:
-        tf, df = F.col("_tf")[i], total["df"][i]
+        tf, df = F.col("tf")[i], total["df"][i]
         idf = F.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
         return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
 
     score = part(0)
     for i in range(1, len(terms)):
         score = score + part(i)
-    return counts.where(F.array_max("_tf") > 0).withColumn("_totals", totals.scalar()).select(id_col, score.alias("score"))
+    return counts.where(F.array_max("tf") > 0).withColumn("_totals", totals.scalar()).select(id_col, score.alias("score"))
 
 
-def search(docs: DataFrame, id_col: str, text_col: str, query: str, k: int = 10) -> DataFrame:
+def search(
+    docs: DataFrame, id_col: str, text_col: str, query: str, k: int = 10, stage: str | None = None
+) -> DataFrame:
     """The ``k`` best documents, ties by id."""
-    return bm25(docs, id_col, text_col, query).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
+    return bm25(docs, id_col, text_col, query, stage).orderBy(F.desc("score"), F.asc(id_col)).limit(k)

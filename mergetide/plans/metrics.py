@@ -28,6 +28,8 @@ from mergetide.session import require_utc
 Moment = datetime | date | str
 
 ROLLING_DAYS = 30
+# The API gives times in whole seconds; finer ones would only make tasks larger.
+SECOND_US = 1_000_000
 EPOCH = "1970-01-01 00:00:00"
 
 
@@ -70,7 +72,7 @@ def _rolling(
     # A merge day stands for its pull request created last; the average depends on nothing else of it.
     picks = merged.groupBy("repo", "merged_date").agg(F.max("created_at").alias("created_at"))
     rolling = rolling_avg_at(
-        merged, picks, ["repo"], "created_at", "age_us", ROLLING_DAYS * DAY_US, "mean_us"
+        merged, picks, ["repo"], "created_at", "age_us", ROLLING_DAYS * DAY_US, "mean_us", grain=SECOND_US
     ).select(F.col("repo").alias("merged_repo"), "repo", "merged_date", (F.col("mean_us") / DAY_US).alias("duration"))
 
     calendar = with_days(calendar_repos, timestamp_lit(start), timestamp_lit(end))
