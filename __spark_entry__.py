@@ -228,7 +228,7 @@ def rolling_avg_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
             calendar_age_us("merged_at", "created_at").cast("decimal(20,0)").alias("age_us"),
         )
     )
-    rolled = rolling_range_avg(merged, ["repo"], "created_at", "age_us", 30 * DAY_US, "mean_us")
+    rolled = rolling_range_avg(merged, ["repo"], "created_at", "age_us", 30 * DAY_US, "mean_us", grain=metrics.SECOND_US)
     return rolled.select("url", "repo", "created_at", (F.col("mean_us") / DAY_US).alias("duration"))
 
 

@@ -53,7 +53,7 @@ def _path(path: str) -> str:
 def _fault(item: str, fields: Sequence[JsonField], casts: bool) -> Column:
     """Why an item is unusable, or NULL. ``casts`` also reports values that do not cast.
 
-    An empty LEFT match (a page without items) has nothing to check.
+    The empty row of a page without items has nothing to check.
     """
     cases = [f"when {item} is null then null"]
     cases += [f"when {f.missing(item)} then 'missing key {f.path}'" for f in fields]
@@ -106,25 +106,27 @@ def shred(
     if report:
         # Decided on the page, so that items need not carry its text along.
         pages = pages.withColumn("_no_items", F.col(data).isNull() | F.col(data).rlike(r"^\s*(\[\s*\]|null)\s*$"))
-    items = pages.lateralJoin(
-        df.sparkSession.tvf.variant_explode(parsed).select(F.col("pos").alias(pos), F.col("value").alias("_item")),
-        how="left" if (keep_empty or report) else None,
-    )
+    tvf = df.sparkSession.tvf
+    # The outer variant, as a LEFT lateral join over a generator loses its unmatched rows in Spark 4.1.
+    explode = tvf.variant_explode_outer if keep_empty or report else tvf.variant_explode
+    items = pages.lateralJoin(explode(parsed).select(F.col("pos").alias("_pos"), F.col("value").alias("_item")))
+    place = F.col("_pos").alias(pos)  # in the record, so that a filter on it does not skip checks either
     item = "_item"
     if not report:
-        record = F.struct(*[F.expr(f"cast({f.text(item)} as {f.type})").alias(f.name) for f in fields])
+        record = F.struct(place, *[F.expr(f"cast({f.text(item)} as {f.type})").alias(f.name) for f in fields])
         fault = _fault(item, fields, casts=False)
         checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(record)
-        return items.select(*keep, pos, F.inline(F.array(checked)))
+        return items.select(*keep, F.inline(F.array(checked)))
 
     # The page itself is at fault if it yields no item although its text is no empty array.
     unreadable = F.col(item).isNull() & ~F.col("_no_items")
     fault = F.when(unreadable, F.lit("not a readable JSON array")).otherwise(_fault(item, fields, casts=True))
     record = F.struct(
+        place,
         *[F.when(fault.isNull(), F.expr(f"try_cast({f.text(item)} as {f.type})")).alias(f.name) for f in fields],
         fault.alias("error"),
     )
-    rows = items.select(*keep, pos, F.inline(F.array(record)))
+    rows = items.select(*keep, F.inline(F.array(record)))
     return rows if keep_empty else rows.where(F.col(pos).isNotNull() | F.col("error").isNotNull())
 
 
