@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergetide.functions.dates import DAY_US, order_key
+from mergetide.functions.dates import order_key
 
 
 def asof_join(
@@ -23,7 +23,7 @@ def asof_join(
     tolerance: int | None = None,
     how: str = "left",
     method: str = "bucketed",
-    bucket: int = DAY_US,
+    buckets: Sequence[int] = (1_000_000, 86_400),
     unique_right: bool = False,
 ) -> DataFrame:
     """``left`` plus ``payload`` of at most one right row per left row.
@@ -40,10 +40,12 @@ def asof_join(
     no pair that fails to match is ever formed.
 
     ``method="window"`` does so once per key, for keys that fit a task.
-    ``"bucketed"`` cuts each key into stretches of ``bucket`` and hands the last
-    right row of a stretch on to the next stretch that needs it; distinct left
-    times are matched and joined back, so neither a hot key nor a hot instant
-    ends up in one task.
+    ``"bucketed"`` cuts each key into stretches of ``buckets[0]``, these into
+    groups of ``buckets[1]`` and so on (seconds and days, unless told otherwise),
+    and hands the last right row of a stretch on to the next one that needs it.
+    Distinct left times are matched and joined back. So neither a hot key nor a
+    hot day or instant ends up in one task: a second of a key has a million
+    microseconds, a day 86,400 seconds, and a key some thousand days.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction is 'backward' or 'forward'")
@@ -80,8 +82,8 @@ def asof_join(
         times = asked.select(*by, "_t").distinct()
         for column in [*by, "_t"]:
             times = times.where(F.col(column).isNotNull())
-        found = _carry_bucketed(offered, times, by, allow_exact, bucket).where(F.col("_hit").isNotNull())
-        matched = asked.join(found, [*by, "_t"], "left").select(*left.columns, "_t", "_hit")
+        found = _carry_sliced(offered, times, by, allow_exact, buckets).where(F.col("_hit").isNotNull())
+        matched = asked.join(found.select(*by, "_t", "_hit"), [*by, "_t"], "left").select(*left.columns, "_t", "_hit")
 
     if tolerance is not None:
         near = F.col("_t") - F.col("_hit._t") <= tolerance
@@ -93,7 +95,7 @@ def asof_join(
 
 def _carry(offered: DataFrame, asked: DataFrame, by: Sequence[str], allow_exact: bool) -> DataFrame:
     """Rows of ``asked`` with the last ``_hit`` offered up to their time."""
-    # At equal times an offer must come first to be seen, last not to be.
+    # NULL times sort first. At equal times an offer must come first to be seen, last not to be.
     offer, ask = (0, 1) if allow_exact else (1, 0)
     both = offered.withColumn("_side", F.lit(offer)).unionByName(
         asked.withColumn("_side", F.lit(ask)), allowMissingColumns=True
@@ -102,25 +104,22 @@ def _carry(offered: DataFrame, asked: DataFrame, by: Sequence[str], allow_exact:
     return both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(upto)).where(F.col("_side") == ask)
 
 
-def _carry_bucketed(
-    offered: DataFrame, asked: DataFrame, by: Sequence[str], allow_exact: bool, bucket: int
+def _carry_sliced(
+    offered: DataFrame, asked: DataFrame, by: Sequence[str], allow_exact: bool, buckets: Sequence[int]
 ) -> DataFrame:
-    """``_carry`` on stretches of time; what precedes a stretch reaches it as one extra offer."""
-    stretch = F.expr(f"(_t - pmod(_t, {bucket}L)) div {bucket}L")
-    offered, asked = offered.withColumn("_stretch", stretch), asked.withColumn("_stretch", stretch)
+    """``_carry`` on stretches of ``buckets[0]``; what precedes a stretch reaches it as one extra offer.
 
-    # One row per key and stretch: the last offer made in it, and whether anyone asks in it.
-    marks = offered.select(*by, "_stretch", "_hit").unionByName(
-        asked.select(*by, "_stretch").distinct(), allowMissingColumns=True
-    )
-    stretches = marks.groupBy(*by, "_stretch").agg(
-        F.max_by("_hit", F.col("_hit._t")).alias("_closing"),
-        F.bool_or(F.col("_hit").isNull()).alias("_wanted"),
-    )
-    before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    opening = (
-        stretches.withColumn("_hit", F.last("_closing", ignorenulls=True).over(before))
-        .where(F.col("_wanted") & F.col("_hit").isNotNull())
-        .select(*by, F.col("_hit._t").alias("_t"), "_hit", "_stretch")
+    Finding that offer is the same question again, asked of one row per stretch.
+    """
+    if not buckets:
+        return _carry(offered, asked, by, allow_exact)
+    stretch = F.expr(f"(_t - pmod(_t, {buckets[0]}L)) div {buckets[0]}L")
+    offered, asked = offered.withColumn("_stretch", stretch), asked.withColumn("_stretch", stretch)
+    closing = offered.groupBy(*by, F.col("_stretch").alias("_t")).agg(
+        F.max_by("_hit", F.col("_hit._t")).alias("_hit")
     )
-    return _carry(offered.unionByName(opening), asked, [*by, "_stretch"], allow_exact).select(*by, "_t", "_hit")
+    wanted = asked.select(*by, F.col("_stretch").alias("_t")).distinct()
+    opening = _carry_sliced(closing, wanted, by, False, buckets[1:]).where(F.col("_hit").isNotNull())
+    # Without a time of its own it comes before everything in the stretch.
+    opening = opening.select(*by, F.lit(None).cast("long").alias("_t"), "_hit", F.col("_t").alias("_stretch"))
+    return _carry(offered.unionByName(opening), asked, [*by, "_stretch"], allow_exact)

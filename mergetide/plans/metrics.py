@@ -70,10 +70,18 @@ def _rolling(
         age_us.cast("decimal(20,0)").alias("age_us"),
     )
     # A merge day stands for its pull request created last; the average depends on nothing else of it.
-    picks = merged.groupBy("repo", "merged_date").agg(F.max("created_at").alias("created_at"))
+    # Days after the range are never looked up, and of those before it only the last one is, on the first day.
+    first, last = timestamp_lit(start).cast("date"), timestamp_lit(end).cast("date")
+    newest = F.max(F.struct("merged_date", "created_at"))
+    picks = (
+        merged.where(F.col("merged_date") <= last)
+        .groupBy("repo", F.greatest("merged_date", first).alias("seen_from"))
+        .agg(newest.alias("newest"))
+        .select("repo", "seen_from", "newest.created_at")
+    )
     rolling = rolling_avg_at(
         merged, picks, ["repo"], "created_at", "age_us", ROLLING_DAYS * DAY_US, "mean_us", grain=SECOND_US
-    ).select(F.col("repo").alias("merged_repo"), "repo", "merged_date", (F.col("mean_us") / DAY_US).alias("duration"))
+    ).select(F.col("repo").alias("merged_repo"), "repo", "seen_from", (F.col("mean_us") / DAY_US).alias("duration"))
 
     calendar = with_days(calendar_repos, timestamp_lit(start), timestamp_lit(end))
     # Both sides are down to days per repository here, so a key fits a task.
@@ -82,7 +90,7 @@ def _rolling(
         rolling,
         by=["repo"],
         left_on="day",
-        right_on="merged_date",
+        right_on="seen_from",
         payload=["merged_repo", "duration"],
         how="inner" if drop_unmatched else "left",
         method="window",
@@ -183,15 +191,19 @@ class Overview:
         self.latest.unpersist()
 
 
-def overview(pulls: DataFrame, start: Moment, end: Moment, unit: str | None = None) -> Overview:
+def overview(
+    pulls: DataFrame, start: Moment, end: Moment, unit: str | None = None, cache: bool = False
+) -> Overview:
     """Rolling durations and closed counts over all repositories, deduplicated once for both.
 
-    The shared rows are cached on executors; a lost one is computed again from the source.
+    Written out as one query the two share the shuffle that deduplicates. To run
+    them one after the other, ``cache`` keeps the shared rows on the executors; a
+    lost executor's are computed again from the source.
     """
     require_utc(pulls.sparkSession)
-    latest = latest_pulls(pulls).select(
-        "url", "repo", "created_at", "merged_at", "updated_at", "closed_at"
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    latest = latest_pulls(pulls).select("url", "repo", "created_at", "merged_at", "updated_at", "closed_at")
+    if cache:
+        latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
     durations = _rolling(latest, distinct_repos(pulls), start, end, False, "calendar")
     counts = _count(_closed(latest, start, end), _unit(start, end, unit))
     return Overview(durations.orderBy(F.asc("day"), F.asc_nulls_last("repo")), counts, latest)

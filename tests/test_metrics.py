@@ -106,8 +106,9 @@ def test_freshness(spark, pulls):
     assert metrics.raw_freshness(raw_table(spark, [])).first()["updated_at_text"] == "1970-01-01T00:00:00Z"
 
 
-def test_overview_matches_its_parts(pulls):
-    both = metrics.overview(pulls, "2024-01-01", "2024-01-10")
+@pytest.mark.parametrize("cache", [False, True])
+def test_overview_matches_its_parts(pulls, cache):
+    both = metrics.overview(pulls, "2024-01-01", "2024-01-10", cache=cache)
     assert durations(both.durations) == durations(metrics.merged_duration_rolling(pulls, "2024-01-01", "2024-01-10"))
     assert rows(both.counts) == rows(metrics.closed_count(pulls, "2024-01-01", "2024-01-10"))
     both.release()
