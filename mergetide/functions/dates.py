@@ -7,6 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergetide.functions.ranges import to_utc
+
 DAY_US = 86_400_000_000
 # An age counts 30-day months and 365.25-day years.
 AGE_MONTH_US = 30 * DAY_US
@@ -18,14 +20,10 @@ def _col(value: str | Column) -> Column:
 
 
 def timestamp_lit(value: datetime | date | str) -> Column:
-    """A naive timestamp literal. Offsets must be gone by now (``ranges.to_utc``)."""
-    if isinstance(value, datetime):
-        if value.tzinfo is not None:
-            raise ValueError("pass naive UTC; convert with ranges.to_utc first")
-        value = value.isoformat(sep=" ")
-    elif isinstance(value, date):
+    """A naive UTC timestamp literal; a value with an offset is converted."""
+    if isinstance(value, date) and not isinstance(value, datetime):
         value = value.isoformat()
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(to_utc(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def micros(ts: str | Column) -> Column:

@@ -1,7 +1,7 @@
 """Delivery metrics over the ``pulls`` table (one row per version of a pull request).
 
-Ranges are naive UTC; ``functions.ranges`` makes them from presets, defaults and
-text with offsets. ``repos`` keeps the listed repositories (none = all),
+Range bounds are UTC, or carry an offset; ``functions.ranges`` makes them from
+presets and defaults. ``repos`` keeps the listed repositories (none = all),
 ``excluded`` drops the listed ones. Results are unsorted unless said otherwise.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mergetide.functions.dates import DAY_US, calendar_age_us, day_bin, elapsed_us, iso_utc, timestamp_lit, week_bin
 from mergetide.functions.json_shred import repo_id, shred
-from mergetide.functions.ranges import bin_unit
+from mergetide.functions.ranges import bin_unit, to_utc
 from mergetide.operators.asof import asof_join
 from mergetide.operators.calendar import with_days
 from mergetide.operators.latest import latest_per_key
@@ -152,7 +152,7 @@ def _count(closed: DataFrame, unit: str) -> DataFrame:
 def _unit(start: Moment, end: Moment, unit: str | None) -> str:
     if unit:
         return unit
-    first, last = (datetime.fromisoformat(str(m)) for m in (start, end))
+    first, last = (to_utc(m if isinstance(m, datetime) else str(m)) for m in (start, end))
     return bin_unit(first, last)
 
 

@@ -9,7 +9,7 @@ from mergetide.functions.json_shred import json_object, repo_id, shred
 from mergetide.schemas import PULL_FIELDS, PULLS_SOURCE, PULLS_TYPE
 from mergetide.session import require_utc
 from mergetide.sources.admission import RUN, admit, page_news, run_cutoffs
-from mergetide.sources.landing import read_landed
+from mergetide.sources.landing import named_pages, read_landed
 from mergetide.sources.marks import high_water_marks, latest_marks
 from mergetide.sources.tables import Store, read_marks, read_pulls, read_raw, write_batch
 
@@ -77,6 +77,7 @@ def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str =
     spark = landed.sparkSession
     require_utc(spark)
     quarantine = on_error == "quarantine"
+    landed = named_pages(landed)
 
     items = shred(
         landed, "body", PULL_FIELDS, keep=PAGE, on_error="report" if quarantine else "raise", keep_empty=True
@@ -120,7 +121,8 @@ def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str =
             F.lit(batch_id).cast("long").alias("batch_id"),
         )
     )
-    write_batch(pulls, store.pulls)
+    # In order of repository, so that row groups can be skipped by it.
+    write_batch(pulls.sortWithinPartitions("batch_id", "repo", "url"), store.pulls)
 
     moved = high_water_marks(read_pulls(spark, store).where(F.col("batch_id") == batch_id))
     write_batch(moved.withColumn("batch_id", F.lit(batch_id).cast("long")), store.marks)
@@ -131,8 +133,10 @@ def next_batch_id(spark: SparkSession, store: Store) -> int:
     return 0 if last is None else last + 1
 
 
-def ingest_once(spark: SparkSession, landing: str, store: Store, layout: str = "envelope", on_error: str = "raise") -> int:
+def ingest_once(
+    spark: SparkSession, landing: str, store: Store, layout: str = "envelope", on_error: str = "raise"
+) -> int:
     """One-shot ingest of a landing folder; returns the batch number."""
     batch_id = next_batch_id(spark, store)
-    ingest_batch(read_landed(spark, landing, layout), store, batch_id, on_error)
+    ingest_batch(read_landed(spark, landing, layout, on_error), store, batch_id, on_error)
     return batch_id

@@ -117,6 +117,16 @@ def test_bin_unit():
     assert bin_unit(start + timedelta(days=71), start) == "week"
 
 
-def test_literals_must_be_naive():
-    with pytest.raises(ValueError):
-        timestamp_lit(NOW)
+@pytest.mark.parametrize(
+    "value,expected",
+    [
+        (NOW, "2024-03-15 17:30:00"),
+        (datetime(2024, 3, 15, 17, 30), "2024-03-15 17:30:00"),
+        ("2024-03-15T17:30:00+02:00", "2024-03-15 15:30:00"),
+        ("2024-03-15T17:30:00.25Z", "2024-03-15 17:30:00.25"),
+        (date(2024, 3, 15), "2024-03-15 00:00:00"),
+        ("2024-03-15", "2024-03-15 00:00:00"),
+    ],
+)
+def test_literals(spark, value, expected):
+    assert spark.range(1).select(timestamp_lit(value).cast("string")).first()[0] == expected

@@ -164,6 +164,19 @@ def test_bad_pages(spark, tmp_path):
     assert read_quarantine(spark, store).where("page_no = 3").first()["body"] == "[{"
 
 
+def test_unreadable_lines(spark, tmp_path):
+    good = page("r1", 1, item(1, "2024-03-03"))
+    landed(spark, good).write.json(str(tmp_path / "landing"))
+    (tmp_path / "landing" / "broken.json").write_text('{"run_id": "r1", "own\n{"run_id": "r1", "body": "[]"}\n')
+    with pytest.raises(Exception):
+        ingest_once(spark, str(tmp_path / "landing"), Store(str(tmp_path / "strict")))
+    store = Store(str(tmp_path / "lenient"))
+    start_ingest(spark, str(tmp_path / "landing"), store, interval=None).awaitTermination(120)
+    assert rows(read_raw(spark, store).select("page_no")) == [(1,)]
+    lost = sorted(r["body"] for r in read_quarantine(spark, store).collect())
+    assert lost == ["page without a name: []", 'page without a name: {"run_id": "r1", "own']
+
+
 def test_nothing_landed(spark, tmp_path):
     store = Store(str(tmp_path / "store"))
     ingest_batch(spark.createDataFrame([], LANDED_PAGE), store, 0)
