@@ -29,32 +29,89 @@ def _slice_width(width: int) -> int:
     return next(d for d in range(math.isqrt(width), 0, -1) if width % d == 0)
 
 
-def _frame_parts(facts: DataFrame, probes: DataFrame, by: Sequence[str], width: int, bucket: int) -> DataFrame:
-    """``probes`` with ``(_sum, _n)`` parts that add up to the facts at both ends of ``[_at - width, _at]``.
-
-    One part is the facts from the start of the bucket of ``_at`` up to ``_at``,
-    the other the facts from ``_at - width`` to the end of its bucket. With
-    ``bucket == width`` these are neighbours and make up the whole frame. Both
-    are running sums, so the work is linear (Spark computes a sliding frame anew
-    for every row), and sums are only ever added, never subtracted.
-    """
+def _self_asked(facts: DataFrame, by: Sequence[str], width: int, shift: int = 0) -> DataFrame:
+    """Facts together with the two ends of a frame at each fact's time, moved by ``shift``."""
+    at = F.col("_t") + shift
+    none = F.lit(None)
+    no_sum, no_n = none.cast(facts.schema["_sum"].dataType).alias("_sum"), none.cast("long").alias("_n")
+    fact = F.struct("_t", none.cast("boolean").alias("_head"), none.cast("long").alias("_at"), "_sum", "_n")
+    head = F.struct(at.alias("_t"), F.lit(True).alias("_head"), at.alias("_at"), no_sum, no_n)
+    tail = F.struct((at - width).alias("_t"), F.lit(False).alias("_head"), at.alias("_at"), no_sum, no_n)
+    return facts.select(*by, F.inline(F.when(at.isNull(), F.array(fact, head)).otherwise(F.array(fact, head, tail))))
+
+
+def _asked_by(facts: DataFrame, probes: DataFrame, width: int) -> DataFrame:
+    """Facts together with the two ends of a frame at each probe's ``_at``."""
     at = F.col("_at")
     head = F.struct(at.alias("_t"), F.lit(True).alias("_head"))
     tail = F.struct((at - width).alias("_t"), F.lit(False).alias("_head"))
     # Without a time there is no frame: such probes see the facts without a time.
     ends = F.when(at.isNull(), F.array(head)).otherwise(F.array(head, tail))
-    rows = facts.unionByName(probes.select("*", F.inline(ends)), allowMissingColumns=True)
-    rows = rows.withColumn("_bucket", _floor_div("_t", bucket))
+    return facts.unionByName(probes.select("*", F.inline(ends)), allowMissingColumns=True)
+
 
+def _end_sums(rows: DataFrame, by: Sequence[str], bucket: int, opening: DataFrame | None = None) -> DataFrame:
+    """The ends of frames, each with the ``_sum`` and ``_n`` of the facts it covers of its bucket.
+
+    A head covers the facts from the start of the bucket up to it, a tail those
+    from it to the end of the bucket. With buckets as wide as the frame, head and
+    tail lie in neighbouring buckets and make up the whole frame. Both are running
+    sums, so the work is linear (Spark computes a sliding frame anew for every
+    row), and sums are only ever added, never subtracted. ``opening`` adds facts
+    that every head of a bucket covers.
+    """
+    rows = rows.withColumn("_bucket", _floor_div("_t", bucket))
+    if opening is not None:
+        rows = rows.unionByName(opening, allowMissingColumns=True)
     group = Window.partitionBy(*by, "_bucket")
     running = Window.unboundedPreceding, Window.currentRow
-    up_to, from_on = group.orderBy(F.asc("_t")).rangeBetween(*running), group.orderBy(F.desc("_t")).rangeBetween(*running)
+    # Openings have no time: first from the front, last and so out of reach from the back.
+    front = group.orderBy(F.asc_nulls_first("_t")).rangeBetween(*running)
+    back = group.orderBy(F.desc_nulls_last("_t")).rangeBetween(*running)
 
-    def end(column: str) -> Column:
-        return F.when(F.col("_head"), F.sum(column).over(up_to)).otherwise(F.sum(column).over(from_on))
+    def covered(column: str) -> Column:
+        return F.when(F.col("_head"), F.sum(column).over(front)).otherwise(F.sum(column).over(back))
 
-    parts = rows.withColumns({"_part_sum": end("_sum"), "_part_n": end("_n")}).where(F.col("_head").isNotNull())
-    return parts.select(*probes.columns, F.col("_part_sum").alias("_sum"), F.col("_part_n").alias("_n"))
+    sums = rows.withColumns({"_covered": covered("_sum"), "_covered_n": covered("_n")})
+    return (
+        sums.where(F.col("_head").isNotNull())
+        .drop("_sum", "_n", "_t", "_head", "_bucket")
+        .withColumnsRenamed({"_covered": "_sum", "_covered_n": "_n"})
+    )
+
+
+def _frame_sums(
+    instants: DataFrame, probes: DataFrame | None, by: Sequence[str], width: int, grain: int
+) -> DataFrame:
+    """``probes`` (by default the instants themselves) with parts that add up to the facts of their frames."""
+    rows = _self_asked(instants, by, width) if probes is None else _asked_by(instants, probes, width)
+    slice_width = _slice_width(width)
+    slices = width // slice_width
+    if width // grain <= INSTANTS_PER_TASK or slices < 3 or slice_width == 1:
+        return _end_sums(rows, by, width)
+
+    # The ends reach into a slice each. The whole slices between are a frame over one sum per slice,
+    # from the one after the tail's to the one before the head's, and open the head's slice.
+    per_slice = (
+        instants.where(F.col("_t").isNotNull())
+        .groupBy(*by, _floor_div("_t", slice_width).alias("_t"))
+        .agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    )
+    between = slices - 2
+    if probes is None:
+        slice_rows = _self_asked(per_slice, by, between, shift=-1)
+    else:
+        before = (_floor_div("_at", slice_width) - 1).alias("_at")
+        slice_rows = _asked_by(per_slice, probes.where(F.col("_at").isNotNull()).select(*by, before).distinct(), between)
+    opening = _end_sums(slice_rows, by, between).select(
+        *by, (F.col("_at") + 1).alias("_bucket"), F.lit(None).cast("long").alias("_t"), "_sum", "_n"
+    )
+    return _end_sums(rows, by, slice_width, opening)
+
+
+def _instants(facts: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
+    t = order_key(facts, on).alias("_t")
+    return facts.groupBy(*by, t).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
 
 
 def rolling_avg_at(
@@ -80,26 +137,8 @@ def rolling_avg_at(
     ends from instants, the whole slices between from one sum per slice. That
     holds a task to a few million small rows of a key whatever the data is like.
     """
-    sums = [F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n")]
-    t = order_key(facts, on)
-    instants = facts.groupBy(*by, t.alias("_t")).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
     asked = probes.distinct().withColumn("_at", order_key(probes, on))
-
-    slice_width = _slice_width(width)
-    slices = width // slice_width
-    if width // grain <= INSTANTS_PER_TASK or slices < 3 or slice_width == 1:
-        parts = _frame_parts(instants, asked, by, width, width)
-    else:
-        parts = _frame_parts(instants, asked, by, width, slice_width)
-        per_slice = instants.where(F.col("_t").isNotNull())
-        per_slice = per_slice.groupBy(*by, _floor_div("_t", slice_width).alias("_t")).agg(*sums)
-        # From the slice after the one where the frame starts to the one before it ends.
-        numbered = asked.where(F.col("_at").isNotNull()).withColumn("_last", _floor_div("_at", slice_width) - 1)
-        wanted = numbered.select(*by, F.col("_last").alias("_at")).distinct()
-        between = _frame_parts(per_slice, wanted, by, slices - 2, slices - 2)
-        between = between.groupBy(*by, F.col("_at").alias("_last")).agg(*sums)
-        parts = parts.unionByName(join_null_safe(numbered, between, [*by, "_last"]).drop("_last"))
-
+    parts = _frame_sums(_instants(facts, by, on, value), asked, by, width, grain)
     return parts.groupBy(*probes.columns).agg(_mean(F.sum("_sum"), F.sum("_n")).alias(out))
 
 
@@ -124,5 +163,6 @@ def rolling_range_avg(
         return df.withColumn(out, _mean(F.sum(value).over(frame), F.count(value).over(frame)))
     if method != "bucketed":
         raise ValueError("method is 'plain' or 'bucketed'")
-    averages = rolling_avg_at(df, df.select(*by, on), by, on, value, width, out, grain)
-    return join_null_safe(df, averages, [*by, on])
+    parts = _frame_sums(_instants(df, by, on, value), None, by, width, grain)
+    averages = parts.groupBy(*by, "_at").agg(_mean(F.sum("_sum"), F.sum("_n")).alias(out))
+    return join_null_safe(df.withColumn("_at", order_key(df, on)), averages, [*by, "_at"]).drop("_at")

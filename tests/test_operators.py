@@ -127,6 +127,24 @@ def test_rolling_at_probes(spark):
     assert {r["p"]: r["m"] for r in found.collect()} == {"a": None, "b": 1.0, "c": 3.0, "d": None}
 
 
+@pytest.mark.parametrize("bound", [10, 10**12])
+def test_rolling_at_other_times(spark, monkeypatch, bound):
+    """Probes are no facts: they lie anywhere, between slices without facts too."""
+    monkeypatch.setattr(rolling, "INSTANTS_PER_TASK", bound)
+    rng = random.Random(3)
+    width = 240
+    facts = [(rng.choice("ab"), rng.randrange(-2000, 2000), float(rng.randrange(100))) for _ in range(120)]
+    asked = [(rng.choice("abc"), rng.randrange(-2300, 2300), i) for i in range(150)]
+    fdf = spark.createDataFrame(facts, "k string, t long, v double")
+    pdf = spark.createDataFrame(asked, "k string, t long, p long")
+    found = {r["p"]: r["m"] for r in rolling_avg_at(fdf, pdf, ["k"], "t", "v", width, "m").collect()}
+    expected = {}
+    for k, t, p in asked:
+        frame = [v for k2, t2, v in facts if k2 == k and t - width <= t2 <= t]
+        expected[p] = sum(frame) / len(frame) if frame else None
+    same(found, expected)
+
+
 def test_rolling_never_slides_over_rows(spark):
     """Running sums only: a sliding frame costs rows times frame length."""
     df = spark.createDataFrame([(1, "k", ts("2024-01-01"), 1.0)], "id long, k string, t timestamp_ntz, v double")
