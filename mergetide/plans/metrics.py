@@ -57,7 +57,13 @@ def latest_pulls(pulls: DataFrame, repos: Repos | None = None, excluded: Repos |
 
 
 def _rolling(
-    latest: DataFrame, calendar_repos: DataFrame, start: Moment, end: Moment, drop_unmatched: bool, age: str
+    latest: DataFrame,
+    calendar_repos: DataFrame,
+    start: Moment,
+    end: Moment,
+    drop_unmatched: bool = False,
+    age: str = "calendar",
+    stage: str | None = None,
 ) -> DataFrame:
     if age not in ("calendar", "elapsed"):
         raise ValueError("age is 'calendar' or 'elapsed'")
@@ -69,6 +75,9 @@ def _rolling(
         F.col("merged_at").cast("date").alias("merged_date"),
         age_us.cast("decimal(20,0)").alias("age_us"),
     )
+    if stage:
+        merged.write.mode("overwrite").parquet(stage)
+        merged = latest.sparkSession.read.schema(merged.schema).parquet(stage)
     # A merge day stands for its pull request created last; the average depends on nothing else of it.
     # Days after the range are never looked up, and of those before it only the last one is, on the first day.
     first, last = timestamp_lit(start).cast("date"), timestamp_lit(end).cast("date")
@@ -107,6 +116,7 @@ def merged_duration_rolling(
     excluded: Repos | None = None,
     drop_unmatched: bool = False,
     age: str = "calendar",
+    stage: str | None = None,
 ) -> DataFrame:
     """``(day, repo, duration)``: days to merge, 30-day rolling average, for every day and repository.
 
@@ -115,6 +125,10 @@ def merged_duration_rolling(
     day's pull request. All history counts; the range only bounds the calendar.
     Days before a repository's first merge share one row with NULL repo and
     duration, unless ``drop_unmatched``. Sorted by day and repository.
+
+    The merged pull requests are needed twice. Both uses share the shuffle that
+    finds them, but each sorts what it receives; on a long history name a folder
+    to ``stage`` them in instead: four narrow columns per merge.
     """
     require_utc(pulls.sparkSession)
     latest = latest_pulls(pulls, repos, excluded)
@@ -123,7 +137,7 @@ def merged_duration_rolling(
     else:
         days_for = repo_frame(pulls, repos)
         days_for = days_for if excluded is None else select_repos(days_for, None, excluded)
-    result = _rolling(latest, days_for, start, end, drop_unmatched, age)
+    result = _rolling(latest, days_for, start, end, drop_unmatched, age, stage)
     return result.orderBy(F.asc("day"), F.asc_nulls_last("repo"))
 
 
@@ -204,6 +218,6 @@ def overview(
     latest = latest_pulls(pulls).select("url", "repo", "created_at", "merged_at", "updated_at", "closed_at")
     if cache:
         latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
-    durations = _rolling(latest, distinct_repos(pulls), start, end, False, "calendar")
+    durations = _rolling(latest, distinct_repos(pulls), start, end)
     counts = _count(_closed(latest, start, end), _unit(start, end, unit))
     return Overview(durations.orderBy(F.asc("day"), F.asc_nulls_last("repo")), counts, latest)

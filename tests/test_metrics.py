@@ -34,8 +34,10 @@ def pulls(spark):
     )
 
 
-def test_rolling_duration(pulls):
-    found = metrics.merged_duration_rolling(pulls, "2024-01-02", "2024-01-08")
+@pytest.mark.parametrize("staged", [False, True])
+def test_rolling_duration(pulls, tmp_path, staged):
+    stage = str(tmp_path / "merged") if staged else None
+    found = metrics.merged_duration_rolling(pulls, "2024-01-02", "2024-01-08", stage=stage)
     # The newest of a's frame on 01-03 is a2: a1 (2 d), a4 (6 d), a2 (1.5 d) were created up to then.
     a = (2 + 6 + 1.5) / 3
     # On 01-07 it is a4, whose frame ends before a2 was created.
