@@ -139,11 +139,15 @@ def semi_join_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semi_join_repo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list of repositories as data: those of one busy market segment."""
-    customers = _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 21 < 9")
+    """The list of repositories as data: those with more customers in one market segment than in another."""
     owner = F.concat(F.lit("org"), (F.col("c_custkey") % 3).cast("string"))
     name = F.concat(F.lit("repo"), (F.col("c_custkey") % 7).cast("string"))
-    listed = customers.select(repo_id(owner, name).alias("repo"))
+    customers = _table(spark, sf_dir, "customer").select(repo_id(owner, name).alias("repo"), "c_mktsegment")
+    listed = customers.groupBy("repo").agg(
+        F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"),
+        F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("machinery"),
+    )
+    listed = listed.where("building > machinery")
     return keep_repos(_pulls(spark, sf_dir), listed).select("repo", "url", "updated_at")
 
 
@@ -714,8 +718,8 @@ def oracle_sql() -> dict[str, str]:
         "distinct_repos": f"with {_PRS} select distinct repo from pulls",
         "semi_join_repos": f"with {_PRS} select repo, url, updated_at from pulls where {some}",
         "semi_join_repo_table": f"""with {_PRS} select repo, url, updated_at from pulls where repo in (
-            select 'org' || (c_custkey % 3) || '/repo' || (c_custkey % 7) from customer
-            where c_mktsegment = 'BUILDING' and c_custkey % 21 < 9)""",
+            select 'org' || (c_custkey % 3) || '/repo' || (c_custkey % 7) as r from customer group by r
+            having count_if(c_mktsegment = 'BUILDING') > count_if(c_mktsegment = 'MACHINERY'))""",
         "anti_join_excluded": f"with {_PRS} select repo, url, updated_at from pulls where {rest}",
         "calendar_spine": f"""with {_PRS},
             span as (select repo, min(created_at) as lo, max(created_at) as hi from pulls group by repo)

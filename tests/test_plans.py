@@ -5,6 +5,10 @@ from mergetide.operators.asof import asof_join
 from mergetide.operators.repos import keep_repos
 from mergetide.operators.rolling import rolling_range_avg
 from mergetide.plans import metrics
+from mergetide.session import shared_dir
+from mergetide.sources.admission import admit
+from mergetide.sources.ingest import raw_rows
+from mergetide.sources.landing import named_pages, read_landed
 from tests.helpers import plan, pull_table, ts
 
 
@@ -42,6 +46,25 @@ def test_only_small_lists_are_broadcast(spark, tmp_path):
     assert "LeftSemi" in plan(query)
 
 
+def test_page_text_is_not_shuffled(spark, tmp_path):
+    body = "run_id string, owner string, repo string, page_no int, etag string, fetched_at string, body string"
+    spark.createDataFrame([("r", "o", "n", 1, "e", "2024-01-01T00:00:00Z", "[]")], body).write.json(str(tmp_path / "in"))
+    cutoffs = spark.createDataFrame([("r", "o", "n", 2)], "run_id string, owner string, repo string, first_stale int")
+    cutoffs = parquet(spark, cutoffs, tmp_path / "cutoffs")
+    admitted = raw_rows(admit(named_pages(read_landed(spark, str(tmp_path / "in"))), cutoffs), 0)
+    assert "BroadcastHashJoin" in plan(admitted) and "Exchange hashpartitioning" not in plan(admitted)
+    assert admitted.count() == 1
+
+
+def test_scratch_is_where_the_cluster_says(spark, tmp_path):
+    class Cluster:  # the setting is fixed once a session runs
+        conf = {"spark.checkpoint.dir": f"{tmp_path}/"}
+
+    first, second = shared_dir(Cluster), shared_dir(Cluster)
+    assert first != second and first.startswith(f"{tmp_path}/mergetide-")
+    assert not shared_dir(spark).startswith(str(tmp_path))
+
+
 def test_hot_keys_are_cut(spark):
     """Every window of the bucketed operators groups by more than the key."""
     df = spark.createDataFrame([(1, "k", ts("2024-01-01"), 1.0)], "id long, k string, t timestamp_ntz, v double")
