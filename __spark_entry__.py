@@ -9,6 +9,7 @@ that neither summation order nor rounding of halves can tell the results apart.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from datetime import datetime
 
@@ -519,6 +520,17 @@ def entry(spark: SparkSession) -> DataFrame:
     return merged_duration_rolling(spark, "/root/testdata/sf0.001")
 
 
+def _llm() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators; both empty where that subpackage is not installed."""
+    if not (importlib.util.find_spec("mergetide.llm") and importlib.util.find_spec("corpus_pipeline")):
+        return {}, {}
+    import corpus_pipeline
+    from mergetide.llm import queries as llm
+
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, {**llm.ORACLE_SQL, **pipeline_sql}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "json_strict_shred": json_strict_shred,
@@ -565,6 +577,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_arrow": export_arrow,
         "bm25_scores": bm25_scores,
         "bm25_search": bm25_search,
+        **_llm()[0],
     }
 
 
@@ -811,4 +824,4 @@ def oracle_sql() -> dict[str, str]:
     }
     for name, (text, tables) in ADHOC.items():
         sql[name] = text.format(**{table: table for table in tables})
-    return sql
+    return sql | _llm()[1]
