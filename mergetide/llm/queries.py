@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergetide.llm import decontaminate, neardup, packing, pii, quality, secrets, token_counts, token_files
+from mergetide.llm import decontaminate, html_text, neardup, packing, pii, quality, secrets, token_counts, token_files, warc
 from mergetide.llm.common import new_folder, staged
 from mergetide.session import configure
 
@@ -68,6 +68,11 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, pseudonym_key(spark))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_text.extract(_table(spark, sf_dir, "pages"))
+    return extracted.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +94,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -102,8 +112,10 @@ QUERIES = {
         op3_quality_rules,
         op4_token_files,
         op5_pseudonyms,
+        op6_main_text,
         op7_decontamination,
         op8_secret_scan,
+        op9_archives,
         op10_token_counts,
     )
 }
