@@ -72,8 +72,8 @@ def pack(
         _tails(kind, window, idf), "doc_id long, start long, doc_tokens long, term int, ids binary"
     )
     shards = max(1, -(-n_tail_ids // shard_ids))
-    order = ["term", "doc_id", "start", "ids"]
-    laid = tails.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    order = ["term", "doc_id", "start", "h"]  # no ids: Spark samples these columns on the driver
+    laid = tails.withColumn("h", F.xxhash64("ids")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return full.unionAll(laid.mapInArrow(_fill(kind, window, idf, mean, shard_ids), PIECES))
 
 

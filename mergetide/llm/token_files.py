@@ -182,10 +182,13 @@ def write_tokens(
     """Encode every whole text, append ``end_id``, write files in ascending id order; returns the committed manifest.
 
     A null text is empty, so only ``end_id`` is written. Null ids come first; rows with
-    one id stay apart, in order of their texts. An empty table gives an empty manifest.
+    one id stay apart, in order of a hash of their texts. An empty table gives an empty manifest.
     """
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ordered = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h")
+    )
+    # Spark samples the order's columns on the driver, so they are numbers, not texts.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, where = None, f"{uuid.uuid4().hex}.pfor"
@@ -194,7 +197,7 @@ def write_tokens(
                 if writer is None:
                     system, path = file_system(folder)
                     system.create_dir(path, recursive=True)
-                    writer = Writer(system.open_output_stream(f"{path}/{where}"))
+                    writer = Writer(system.open_output_stream(f"{path}/{where}", compression=None))
                 ids, starts = encoder(tokenizer).encode(part.column(1))
                 tail = np.array([end_id], np.uint32)
                 for i, name in enumerate(part.column(0).to_pylist()):

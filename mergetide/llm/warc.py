@@ -124,7 +124,7 @@ def write_archives(
                 if stream is None:
                     system, path = file_system(folder)
                     system.create_dir(path, recursive=True)
-                    stream = system.open_output_stream(f"{path}/{name}")
+                    stream = system.open_output_stream(f"{path}/{name}", compression=None)
                 rows = []
                 for i, u, data, digest, origin in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     packer = zlib.compressobj(6, wbits=31)
@@ -155,7 +155,7 @@ def _write_index(folder: str):
             if stream is None:
                 system, path = file_system(folder)
                 system.create_dir(path, recursive=True)
-                stream = system.open_output_stream(f"{path}/{name}")
+                stream = system.open_output_stream(f"{path}/{name}", compression=None)
             block = zlib.compress("\n".join(lines).encode())
             stream.write(block)
             rows.append((first, name, at, len(block), len(lines)))
