@@ -190,9 +190,8 @@ class Index:
         self.begins = np.append(begins, len(term))
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.terms, query)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], query, assume_unique=True)]
+        at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
+        at = at[self.terms[at] == query]
         begins, sizes = self.begins[at], self.begins[at + 1] - self.begins[at]
         ends = np.cumsum(sizes)
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
@@ -247,8 +246,8 @@ def fill_shard(rows: list[tuple], sequence: int, window: int, idf: np.ndarray, m
                 if n_unused:
                     score = index.scores(terms[doc])
                     score[~unused[index.docs]] = 0
-                    found = np.argsort(-score, kind="stable")
-                    neighbours = iter(index.docs[found[: np.count_nonzero(score)]].tolist())
+                    alike = np.flatnonzero(score)
+                    neighbours = iter(index.docs[alike[np.argsort(-score[alike], kind="stable")]].tolist())
         sequence += 1
     return pieces, sequence
 

@@ -3,6 +3,7 @@
 Texts are split where no token can reach across, the distinct pieces of a batch are
 encoded by the library in batches balanced by bytes, and the results are dealt back to
 the texts with array arithmetic. Frequent pieces stay known between batches.
+Between an ASCII letter and a full stop or comma both kinds of file cut, too.
 
 Safe boundaries. Byte-level files keep white space, so a piece starts at a single space
 or newline standing between two characters that are no white space; a text with any
@@ -29,6 +30,9 @@ _ODD_SPACE = (
     r"[ \n][ \n]|^[ \n]|[ \n]$|"
     r"[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]"
 )
+_STOP = r"([A-Za-z])([.,])"
+# Where lower-casing first could tell: marks that compose with a small letter only, and special strings.
+_NOT_LOWERED = r"\p{M}|<\|"
 _SAFE_SPACE = re.compile("(?<=[!-~]) (?=[!-~])")
 _loaded: dict[str, PieceEncoder] = {}
 
@@ -57,6 +61,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.keeps_space = _keeps_space(spec)
+        self.lowers = "Lowercase" in [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +98,11 @@ class PieceEncoder:
         """All pieces in order of the texts, and the number of the text each belongs to, ascending."""
         texts = texts.cast(pa.large_string())
         if not self.keeps_space:
+            texts = pc.replace_substring_regex(texts, _STOP, r"\1 \2")  # a new array, not a slice, as lower-casing needs it
+            if self.lowers:
+                as_is = pc.match_substring_regex(texts, _NOT_LOWERED).to_numpy(zero_copy_only=False)
+                both = pa.concat_arrays([pc.ascii_lower(texts), texts])
+                texts = both.take(pa.array(np.arange(len(texts)) + len(texts) * as_is))
             return _lists(pc.ascii_split_whitespace(texts))
         odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
         if not odd.any():
@@ -107,7 +117,8 @@ class PieceEncoder:
         return pa.concat_arrays([pieces, more]).take(pa.array(order)), all_owners[order]
 
     def _regular(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        # "a b\nc" -> "a", " b", "\nc": a mark before every boundary, which no regular text holds.
+        # "a b.\nc" -> "a", " b", ".", "\nc": a mark before every boundary, which no regular text holds.
+        texts = pc.replace_substring_regex(texts, _STOP, "\\1\r\\2")
         marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\r\n"), " ", "\r ")
         return _lists(pc.split_pattern(marked, "\r"))
 
