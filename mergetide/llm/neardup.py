@@ -226,7 +226,8 @@ def near_duplicates(
     pairs = leading.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = staged(pairs)
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = staged(named.where("text is not null").join(involved, "doc_id", "left_semi").distinct())
+    # A share of all documents, so it is never to be broadcast: the same plan at every size.
+    texts = staged(named.where("text is not null").join(involved.hint("merge"), "doc_id", "left_semi").distinct())
     first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links = staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"))
