@@ -20,12 +20,17 @@ def repo_frame(df: DataFrame, repos: Repos) -> DataFrame:
     return repos.select("repo").where(F.col("repo").isNotNull()).distinct()
 
 
+def _named(repos: Sequence[str]) -> list[str]:
+    """The list without repetitions or NULL, which IN would treat differently than a join."""
+    return [r for r in dict.fromkeys(repos) if r is not None]
+
+
 def keep_repos(df: DataFrame, repos: Repos | None = None) -> DataFrame:
     """Rows of the listed repositories. No or an empty list means all. A NULL repo never matches."""
     if repos is None or (not isinstance(repos, DataFrame) and not repos):
         return df.where(F.col("repo").isNotNull())
     if not isinstance(repos, DataFrame) and len(repos) <= IN_LIST_MAX:
-        return df.where(F.col("repo").isin(list(dict.fromkeys(repos))))
+        return df.where(F.col("repo").isin(_named(repos)))
     # No broadcast hint: Spark broadcasts the list only if it measures below its threshold.
     return df.join(repo_frame(df, repos), "repo", "left_semi")
 
@@ -33,11 +38,11 @@ def keep_repos(df: DataFrame, repos: Repos | None = None) -> DataFrame:
 def drop_repos(df: DataFrame, excluded: Repos) -> DataFrame:
     """All repositories but the excluded ones, so new ones appear by themselves.
 
-    Excluding every repository leaves nothing.
+    Excluding every repository leaves nothing. A NULL in the list excludes nothing.
     """
     known = df.where(F.col("repo").isNotNull())
     if not isinstance(excluded, DataFrame) and len(excluded) <= IN_LIST_MAX:
-        return known.where(~F.col("repo").isin(list(excluded))) if excluded else known
+        return known.where(~F.col("repo").isin(named)) if (named := _named(excluded)) else known
     return known.join(repo_frame(df, excluded), "repo", "left_anti")
 
 

@@ -33,6 +33,8 @@ MARKS = """
     raw_created_at timestamp_ntz, raw_id bigint, batch_id bigint
 """
 
+LEDGER = "batch_id bigint, writer string, step bigint"
+
 QUARANTINE = LANDED_PAGE + ", error string, batch_id bigint"
 
 REPO_FIELDS = (

@@ -54,9 +54,11 @@ def require_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder all executors can reach, under the cluster's checkpoint folder.
 
-    Only where the cluster names none (single-machine tests) is a local one made.
+    Only where the cluster names none, and all runs on one machine, is a local one made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="mergetide-")
     return f"{root.rstrip('/')}/mergetide-{uuid.uuid4()}"

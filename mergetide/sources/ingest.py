@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergetide.functions.json_shred import json_object, repo_id, shred
-from mergetide.schemas import PULL_FIELDS, PULLS_SOURCE, PULLS_TYPE
+from mergetide.schemas import LEDGER, PULL_FIELDS, PULLS_SOURCE, PULLS_TYPE
 from mergetide.session import require_utc
 from mergetide.sources.admission import RUN, admit, page_news, run_cutoffs
 from mergetide.sources.landing import named_pages, read_landed
 from mergetide.sources.marks import high_water_marks, latest_marks
-from mergetide.sources.tables import Store, read_marks, read_pulls, read_raw, write_batch
+from mergetide.sources.tables import Store, read_ledger, read_marks, read_pulls, read_quarantine, read_raw, write_batch
 
 PAGE = [*RUN, "page_no"]
 
@@ -19,11 +21,16 @@ PAGE = [*RUN, "page_no"]
 def page_id(batch_id: int) -> Column:
     """Row number unique across batches and rising with them.
 
-    20 bits of batch, 20 of partition, 23 of row: 8 million pages a partition.
+    20 bits of batch, 20 of partition, 23 of row: 8 million pages a partition. A number
+    that does not fit its bits is an error, never another page's id.
     """
-    row = F.monotonically_increasing_id()
-    partition = F.shiftright(row, 33)
-    return F.lit(batch_id << 43) + F.shiftleft(partition, 23) + row.bitwiseAND(F.lit((1 << 33) - 1))
+    if not 0 <= batch_id < 1 << 20:
+        raise ValueError(f"batch {batch_id} is beyond 20 bits")
+    number = F.monotonically_increasing_id()
+    partition, row = F.shiftright(number, 33), number.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (partition < 1 << 20) & (row < 1 << 23)
+    full = F.raise_error(F.lit("page ids: more than 2^20 partitions, or 2^23 pages in one")).cast("long")
+    return F.when(fits, F.lit(batch_id << 43) + F.shiftleft(partition, 23) + row).otherwise(full)
 
 
 def raw_rows(pages: DataFrame, batch_id: int) -> DataFrame:
@@ -80,20 +87,20 @@ def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str =
     landed = named_pages(landed)
 
     items = shred(
-        landed, "body", PULL_FIELDS, keep=PAGE, on_error="report" if quarantine else "raise", keep_empty=True
+        landed, "body", PULL_FIELDS, keep=[*PAGE, "fetched_at"], on_error="report" if quarantine else "raise", keep_empty=True
     )
-    items = _stage(items, store, "items")
+    items = _stage(items, store, f"items-{batch_id}")
 
     if quarantine:
         faults = items.where(F.col("error").isNotNull()).groupBy(*PAGE).agg(F.min("error").alias("error"))
-        faults = _stage(faults, store, "faults")
+        faults = _stage(faults, store, f"faults-{batch_id}")
         bad_pages = landed.join(faults, PAGE).withColumn("batch_id", F.lit(batch_id).cast("long"))
         write_batch(bad_pages, store.quarantine)
         items = items.join(faults.select(*PAGE), PAGE, "left_anti").drop("error")
         landed = landed.join(faults.select(*PAGE), PAGE, "left_anti")
 
     marks = latest_marks(read_marks(spark, store), before=batch_id)
-    cutoffs = _stage(run_cutoffs(page_news(items), marks), store, "cutoffs")
+    cutoffs = _stage(run_cutoffs(page_news(items), marks), store, f"cutoffs-{batch_id}")
     append_pages(admit(landed, cutoffs), store, batch_id)
 
     written = read_raw(spark, store).where(F.col("batch_id") == batch_id)
@@ -128,15 +135,29 @@ def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str =
     write_batch(moved.withColumn("batch_id", F.lit(batch_id).cast("long")), store.marks)
 
 
-def next_batch_id(spark: SparkSession, store: Store) -> int:
-    last = read_marks(spark, store).agg(F.max("batch_id")).first()[0]
-    return 0 if last is None else last + 1
+def claim_batch(spark: SparkSession, store: Store, writer: str, step: int = 0) -> int:
+    """The store's number for a writer's ``step``: the one it was given before, or a new one.
+
+    One-shot runs and streams share the store, so they share its numbers. The claim is
+    written before the batch, and stays if nothing comes of it: a number is never
+    given twice, even when all pages of its batch were set aside. One writer claims at a time.
+    """
+    ledger = read_ledger(spark, store)
+    own = ledger.where((F.col("writer") == writer) & (F.col("step") == step)).agg(F.min("batch_id")).first()[0]
+    if own is not None:
+        return own
+    # Stores from before the ledger have numbers in their tables only.
+    tables = (ledger, read_marks(spark, store), read_raw(spark, store), read_quarantine(spark, store))
+    last = [t.agg(F.max("batch_id")).first()[0] for t in tables]
+    batch_id = 1 + max((n for n in last if n is not None), default=-1)
+    spark.createDataFrame([(batch_id, writer, step)], LEDGER).coalesce(1).write.mode("append").parquet(store.ledger)
+    return batch_id
 
 
 def ingest_once(
     spark: SparkSession, landing: str, store: Store, layout: str = "envelope", on_error: str = "raise"
 ) -> int:
     """One-shot ingest of a landing folder; returns the batch number."""
-    batch_id = next_batch_id(spark, store)
+    batch_id = claim_batch(spark, store, f"once-{uuid.uuid4()}")
     ingest_batch(read_landed(spark, landing, layout, on_error), store, batch_id, on_error)
     return batch_id

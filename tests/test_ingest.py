@@ -228,3 +228,41 @@ def test_other_sources_are_not_opened(spark, tmp_path):
     assert "data_source" in scan.split("PartitionFilters:")[1].split("]")[0]
     assert "ReadSchema: struct<etag:string>" in scan
     assert read_raw(spark, store, data_type="commits").count() == 0
+
+
+def _land(spark, folder, rows):
+    fields = "run_id string, owner string, repo string, page_no int, etag string, fetched_at string, body string"
+    spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").json(str(folder))
+
+
+def _page(run, number, time, fetched):
+    return (run, "o", "r", 1, "e", fetched, json.dumps([pr(number, "2019-12-01T00:00:00Z", updated=time)]))
+
+
+def test_once_then_stream_on_one_store_keeps_both(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    _land(spark, tmp_path / "a", [_page("1", 1, "2020-01-01T00:00:00Z", "2020-01-02T00:00:00Z")])
+    _land(spark, tmp_path / "b", [_page("2", 2, "2020-02-01T00:00:00Z", "2020-02-02T00:00:00Z")])
+    ingest_once(spark, str(tmp_path / "a"), store)
+    start_ingest(spark, str(tmp_path / "b"), store, interval=None).awaitTermination()
+    assert sorted(r.run_id for r in read_raw(spark, store).collect()) == ["1", "2"]
+    assert read_pulls(spark, store).count() == 2
+
+
+def test_runs_of_a_batch_follow_their_fetch_time(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    rows = [
+        _page("9", 1, "2020-01-01T00:00:00Z", "2020-01-02T00:00:00Z"),
+        _page("10", 2, "2020-02-01T00:00:00Z", "2020-02-02T00:00:00Z"),
+    ]
+    _land(spark, tmp_path / "a", rows)
+    ingest_once(spark, str(tmp_path / "a"), store)
+    assert sorted(r.run_id for r in read_raw(spark, store).collect()) == ["10", "9"]
+
+
+def test_quarantined_batches_keep_their_numbers(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for run in ("1", "2"):
+        _land(spark, tmp_path / run, [(run, "o", "r", 1, "e", "2020-01-02T00:00:00Z", '[{"url": 1}]')])
+        ingest_once(spark, str(tmp_path / run), store, on_error="quarantine")
+    assert sorted(r.run_id for r in read_quarantine(spark, store).collect()) == ["1", "2"]
