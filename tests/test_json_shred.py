@@ -26,7 +26,7 @@ ACCEPTED = [
     ('[{"base":{"repo":null}}]', [NAME], [(0, None)]),
     ('[{"base":{"repo":{"name":"n","x":2}},"head":{"repo":{"name":"other"}}}]', [NAME], [(0, "n")]),
     ('[null,{"a":"x"}]', [A], [(0, None), (1, "x")]),
-    ('[{"t":"2011-01-26T19:01:12Z"}]', [T], [(0, datetime(2011, 1, 26, 19, 1, 12))]),
+    ('[{"t":"2022-03-09T10:45:30Z"}]', [T], [(0, datetime(2022, 3, 9, 10, 45, 30))]),
     ("[]", [A], []),
     (" [ ] ", [A], []),
     ("null", [A], []),
@@ -93,23 +93,23 @@ def test_keep_empty(spark):
 
 def test_full_pull_request(spark):
     item = pr(
-        1347, "2011-01-25T12:10:00Z", closed="2011-01-26T19:01:12Z", merged="2011-01-26T19:01:12Z",
-        owner="octocat", name="Hello-World",
-        milestone={"created_at": "2011-04-10T20:09:31Z", "closed_at": "2013-02-12T13:22:01Z"},
+        58, "2022-03-07T08:15:00Z", closed="2022-03-09T10:45:30Z", merged="2022-03-09T10:45:30Z",
+        owner="tidal", name="harbour",
+        milestone={"created_at": "2022-02-01T00:00:01Z", "closed_at": "2022-05-05T05:05:05Z"},
         head={"repo": {"name": "fork", "owner": {"login": "someone"}}}, labels=[{"id": 1}], assignees=[],
     )
     raw = raw_table(spark, [item])
     (row,) = pulls_from_raw(raw).collect()
-    assert row["repo"] == "octocat/Hello-World"
-    assert row["merged_at"] == datetime(2011, 1, 26, 19, 1, 12)
-    assert row["created_at"] == datetime(2011, 1, 25, 12, 10)
+    assert row["repo"] == "tidal/harbour"
+    assert row["merged_at"] == datetime(2022, 3, 9, 10, 45, 30)
+    assert row["created_at"] == datetime(2022, 3, 7, 8, 15)
     assert row["draft"] is False and row["raw_id"] == 0 and row["etag"] == "e0"
-    assert rows(repos_in_raw(raw)) == [("octocat/Hello-World",)]
-    assert raw_freshness(raw).first()["updated_at_text"] == "2011-01-26T19:01:12Z"
+    assert rows(repos_in_raw(raw)) == [("tidal/harbour",)]
+    assert raw_freshness(raw).first()["updated_at_text"] == "2022-03-09T10:45:30Z"
 
 
 def test_commit_payload_is_refused(spark):
-    commit = {"sha": "6dcb09", "commit": {"message": "Fix all the bugs"}, "author": {"login": "octocat"}}
+    commit = {"sha": "0a1b2c", "commit": {"message": "Dredge the channel"}, "author": {"login": "tidal"}}
     with pytest.raises(Exception):
         pulls_from_raw(raw_table(spark, [commit])).collect()
 
