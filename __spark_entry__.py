@@ -626,9 +626,9 @@ marks as (
 
 
 # Mean of epoch(age(merged_at, created_at)) / 86400 over the 30 days up to created_at, summed in whole microseconds.
-_MEAN_AGE = """cast(sum(cast(round(epoch(age(merged_at, created_at)) * 1000000) as hugeint)) over trailing as double)
-           / count(age(merged_at, created_at)) over trailing / 86400000000"""
-_TRAILING = """window trailing as (
+_MEAN_AGE = """cast(sum(cast(round(epoch(age(merged_at, created_at)) * 1000000) as hugeint)) over recent as double)
+           / count(age(merged_at, created_at)) over recent / 86400000000"""
+_RECENT = """window recent as (
         partition by repo order by created_at
         range between interval 30 days preceding and current row)"""
 
@@ -650,7 +650,7 @@ rolling as (
     select repo, url, created_at, cast(merged_at as date) as merged_date,
            {_MEAN_AGE} as duration
     from latest where merged_at is not null and {chosen}
-    {_TRAILING}
+    {_RECENT}
 ),
 picks as (
     select * from rolling
@@ -755,7 +755,7 @@ def oracle_sql() -> dict[str, str]:
             from bounds left join orders on o_orderdate >= lo and o_orderdate <= hi group by preset, lo, hi""",
         "rolling_avg_30d": f"""with {_LATEST} select url, repo, created_at,
             {_MEAN_AGE} as duration
-            from latest where merged_at is not null {_TRAILING}""",
+            from latest where merged_at is not null {_RECENT}""",
         "rolling_avg_events_3d": """select event_id, event_type,
             cast(sum(cast(value as decimal(18, 2))) over w as double) / count(value) over w as mean_value from events
             window w as (partition by event_type order by ts range between interval 3 days preceding and current row)""",
