@@ -25,7 +25,7 @@ from mergetide.functions.dates import (
     timestamp_lit,
     week_bin,
 )
-from mergetide.functions.json_shred import json_text, repo_id
+from mergetide.functions.json_shred import json_text, repo_id, shred
 from mergetide.functions.ranges import PRESET_DAYS, preset_range
 from mergetide.operators.asof import asof_join
 from mergetide.operators.calendar import with_days
@@ -35,9 +35,10 @@ from mergetide.operators.rolling import rolling_range_avg
 from mergetide.operators.search import bm25, search
 from mergetide.plans import metrics
 from mergetide.plans.views import register_views
+from mergetide.schemas import PULL_FIELDS
 from mergetide.session import configure, shared_dir
 from mergetide.sources.admission import admit, page_news, run_cutoffs
-from mergetide.sources.ingest import append_pages, raw_rows
+from mergetide.sources.ingest import append_pages, ingest_once, raw_rows
 from mergetide.sources.landing import parse_repos
 from mergetide.sources.marks import high_water_marks, marks_or_default
 from mergetide.sources.order_pages import order_pages
@@ -49,6 +50,13 @@ START, END = "1997-01-01 00:00:00", "1997-12-31 00:00:00"
 SHORT_START, SHORT_END = "1997-03-01 00:00:00", "1997-05-01 00:00:00"
 SOME_REPOS = ["org0/repo0", "org1/repo3", "org2/repo6"]
 STORED_BEFORE = "1999-01-01 00:00:00"
+# Three runs: each from its start on, and behind that a tail of pages from before it.
+RUNS = (
+    ("1990-01-01", "1990-01-01", "2000-01-01"),
+    ("2000-01-01", "1999-06-01", "2001-01-01"),
+    ("2001-01-01", "1999-09-01", "2100-01-01"),
+)
+TAIL = 10_000_000
 CLOCK = datetime(2001, 6, 15, 13, 45)
 SEARCH = "der rest of that house"
 
@@ -91,6 +99,16 @@ def json_strict_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_shred_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, every tenth cut short, every tenth with a key renamed: items or what is wrong with them."""
+    kind, body = F.col("page_no") % 10, F.col("body")
+    cut = F.when(kind == 3, body.substr(F.lit(1), F.length(body) - 1))
+    spoilt = cut.when(kind == 5, F.replace(body, F.lit('"draft"'), F.lit('"drafted"'))).otherwise(body)
+    pages = _pages(spark, sf_dir).withColumn("body", spoilt)
+    found = shred(pages, "body", PULL_FIELDS, keep=["owner", "repo", "page_no"], on_error="report")
+    return found.select("owner", "repo", "page_no", "item_pos", "url", "state", "updated_at", "error")
+
+
 def json_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", json_text("props", "$.k").alias("k"))
 
@@ -346,7 +364,7 @@ def _stored_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return high_water_marks(_stored_pulls(spark, sf_dir)).select("owner", "repo", "etag", "updated_at")
+    return high_water_marks(_pulls(spark, sf_dir)).select("owner", "repo", "etag", "updated_at")
 
 
 def marks_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,6 +401,46 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latest_pulls(read_pulls(spark, store)).select("url", "repo", "state", "updated_at")
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The pages as three runs fetched one after another; most pages of a tail are stale by then."""
+    pages, runs = _pages(spark, sf_dir), []
+    for number, (start, tail, end) in enumerate(RUNS):
+        old = F.col("fetched_at") < start
+        part = pages.where((F.col("fetched_at") >= tail) & (F.col("fetched_at") < end))
+        runs.append(
+            part.withColumns(
+                {"run_id": F.lit(f"run-{number}"), "page_no": F.col("page_no") + F.when(old, TAIL).otherwise(0)}
+            )
+        )
+    return runs
+
+
+def _admitted(spark: SparkSession, store: Store) -> DataFrame:
+    """What a store took: its raw pages, with the items each one gave."""
+    items = read_pulls(spark, store).groupBy(F.col("raw_id").alias("id")).agg(F.count("*").alias("items"))
+    return read_raw(spark, store).join(items, "id").select("run_id", "owner", "repo", "page_no", "items")
+
+
+def ingest_once_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three one-shot ingests into one store, each past the marks of those before it."""
+    root = shared_dir(spark)
+    store = Store(f"{root}/store")
+    for number, pages in enumerate(_runs(spark, sf_dir)):
+        pages.write.json(f"{root}/landing-{number}")
+        ingest_once(spark, f"{root}/landing-{number}", store)
+    return _admitted(spark, store)
+
+
+def stream_ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same runs landed in one folder, taken by a stream that is started again after each."""
+    root = shared_dir(spark)
+    store = Store(f"{root}/store")
+    for pages in _runs(spark, sf_dir):
+        pages.write.mode("append").json(f"{root}/landing")
+        start_ingest(spark, f"{root}/landing", store, interval=None).awaitTermination()
+    return _admitted(spark, store)
+
+
 # --- ad hoc SQL, export, search -----------------------------------------------------
 
 
@@ -534,6 +592,7 @@ def _llm() -> tuple[dict, dict]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "json_strict_shred": json_strict_shred,
+        "json_shred_report": json_shred_report,
         "json_path_extract": json_path_extract,
         "json_build_metadata": json_build_metadata,
         "metadata_path_extract": metadata_path_extract,
@@ -571,6 +630,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_admission": page_admission,
         "repo_string_parse": repo_string_parse,
         "stream_ingest_equals_batch": stream_ingest,
+        "ingest_once_batches": ingest_once_batches,
+        "stream_ingest_batches": stream_ingest_batches,
         "adhoc_sql_views": adhoc_sql_views,
         **{name: _sql(text, *tables) for name, (text, tables) in ADHOC.items()},
         "export_roundtrip": export_roundtrip,
@@ -611,10 +672,11 @@ latest as (
 )"""
 )
 
-_MARKS = (
-    _PRS
-    + f""",
-stored as (select * from pulls where updated_at < timestamp '{STORED_BEFORE}' and owner <> 'org2'),
+def _marks_sql(stored: str) -> str:
+    return (
+        _PRS
+        + f""",
+stored as (select * from pulls where {stored}),
 pages as (select owner, name, page_no, max(updated_at) as newest from pulls group by all),
 marks as (
     select s.owner, s.name, 'etag-' || s.page_no as etag, s.updated_at
@@ -622,7 +684,38 @@ marks as (
     qualify row_number() over (partition by s.owner, s.name
                                order by s.updated_at desc, p.newest desc, s.page_no desc) = 1
 )"""
-)
+    )
+
+
+_MARKS = _marks_sql(f"updated_at < timestamp '{STORED_BEFORE}' and owner <> 'org2'")
+
+
+def _batches_sql() -> str:
+    """Run after run: the mark is what earlier runs' admitted pages reach, the first page below it ends a run."""
+    steps, earlier = [], []
+    for n, (start, tail, end) in enumerate(RUNS):
+        reached = " union all ".join(f"select owner, name, newest from admitted{m}" for m in earlier) or (
+            "select owner, name, timestamp '1970-01-01 00:00:00' as newest from pages"
+        )
+        steps.append(f""",
+run{n} as (
+    select 'run-{n}' as run_id, owner, name, items, newest,
+           cast(page_no + case when newest < timestamp '{start}' then {TAIL} else 0 end as integer) as page_no
+    from pages where newest >= timestamp '{tail}' and newest < timestamp '{end}'
+),
+mark{n} as (select owner, name, max(newest) as mark from ({reached}) group by all),
+stop{n} as (
+    select r.owner, r.name, min(r.page_no) as first_stale from run{n} r
+    join mark{n} m on r.owner = m.owner and r.name = m.name where r.newest < m.mark group by all
+),
+admitted{n} as (
+    select r.* from run{n} r left join stop{n} s on r.owner = s.owner and r.name = s.name
+    where s.first_stale is null or r.page_no < s.first_stale
+)""")
+        earlier.append(n)
+    pages = ",\npages as (select owner, name, page_no, max(updated_at) as newest, count(*) as items from pulls group by all)"
+    shown = "select run_id, owner, name as repo, page_no, items from admitted"
+    return f"with {_PRS}{pages}{''.join(steps)}\n" + " union all ".join(f"{shown}{n}" for n in earlier)
 
 
 # Mean of epoch(age(merged_at, created_at)) / 86400 over the 30 days up to created_at, summed in whole microseconds.
@@ -716,6 +809,15 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "json_strict_shred": f"with {_PRS} select url, repo, state, created_at, closed_at, merged_at, updated_at, "
         "false as draft from pulls",
+        "json_shred_report": f"""with {_PRS}, placed as (
+                select *, cast(row_number() over (partition by owner, name, page_no order by k, version) - 1 as integer) as pos
+                from pulls)
+            select owner, name as repo, page_no, pos as item_pos, url, state, updated_at, cast(null as varchar) as error
+            from placed where page_no % 10 not in (3, 5)
+            union all select owner, name, page_no, pos, null, null, null, 'missing key draft'
+            from placed where page_no % 10 = 5
+            union all select distinct owner, name, page_no, null, null, null, null, 'not a readable JSON array'
+            from placed where page_no % 10 = 3""",
         "json_path_extract": "select event_id, props ->> '$.k' as k from events",
         "json_build_metadata": f"""with {_PRS} select distinct owner, name as repo, page_no,
             cast(to_json({{owner: owner, repo: name,
@@ -795,7 +897,7 @@ def oracle_sql() -> dict[str, str]:
             union all
             select 'closed', cast(cast(closed_at as date) as varchar), repo, cast(count(*) as double)
             from closed group by cast(closed_at as date), repo""",
-        "high_water_marks": f"with {_MARKS} select owner, name as repo, etag, updated_at from marks",
+        "high_water_marks": f"with {_marks_sql('true')} select owner, name as repo, etag, updated_at from marks",
         "marks_or_default": f"""with {_MARKS} select r.owner, r.name as repo, coalesce(etag, '') as etag,
             coalesce(updated_at, timestamp '1970-01-01 00:00:00') as updated_at
             from (select distinct owner, name from pulls) r
@@ -812,6 +914,8 @@ def oracle_sql() -> dict[str, str]:
             where s.first_stale is null or p.page_no < s.first_stale""",
         "repo_string_parse": f"with {_PRS} select distinct owner, name as repo from pulls",
         "stream_ingest_equals_batch": f"with {_LATEST} select url, repo, state, updated_at from latest",
+        "ingest_once_batches": _batches_sql(),
+        "stream_ingest_batches": _batches_sql(),
         "adhoc_sql_views": f"""with {_LATEST} select repo, count(*) as items, cast(count_if(state = 'open') as bigint) as open_items,
             count(distinct cast(created_at as date)) as days
             from latest where created_at >= timestamp '1997-01-01 00:00:00' group by repo""",

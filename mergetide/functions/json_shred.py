@@ -121,12 +121,15 @@ def shred(
     # The page itself is at fault if it yields no item although its text is no empty array.
     unreadable = F.col(item).isNull() & ~F.col("_no_items")
     fault = F.when(unreadable, F.lit("not a readable JSON array")).otherwise(_fault(item, fields, casts=True))
-    record = F.struct(
+    # A generator of its own: the fault is found once, not again inside every field that depends on it.
+    judged = F.inline(F.array(F.struct("_pos", item, fault.alias("_fault"))))
+    sound = F.col("_fault").isNull()
+    rows = items.select(*keep, judged).select(
+        *keep,
         place,
-        *[F.when(fault.isNull(), F.expr(f"try_cast({f.text(item)} as {f.type})")).alias(f.name) for f in fields],
-        fault.alias("error"),
+        *[F.when(sound, F.expr(f"try_cast({f.text(item)} as {f.type})")).alias(f.name) for f in fields],
+        F.col("_fault").alias("error"),
     )
-    rows = items.select(*keep, F.inline(F.array(record)))
     return rows if keep_empty else rows.where(F.col(pos).isNotNull() | F.col("error").isNotNull())
 
 

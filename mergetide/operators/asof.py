@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from mergetide.functions.dates import order_key
 
+HOUR_US = 3_600_000_000
+
 
 def asof_join(
     left: DataFrame,
@@ -23,7 +25,7 @@ def asof_join(
     tolerance: int | None = None,
     how: str = "left",
     method: str = "bucketed",
-    buckets: Sequence[int] = (1_000_000, 86_400),
+    buckets: Sequence[int] | None = None,
     unique_right: bool = False,
 ) -> DataFrame:
     """``left`` plus ``payload`` of at most one right row per left row.
@@ -41,11 +43,12 @@ def asof_join(
 
     ``method="window"`` does so once per key, for keys that fit a task.
     ``"bucketed"`` cuts each key into stretches of ``buckets[0]``, these into
-    groups of ``buckets[1]`` and so on (seconds and days, unless told otherwise),
-    and hands the last right row of a stretch on to the next one that needs it.
-    Distinct left times are matched and joined back. So neither a hot key nor a
-    hot day or instant ends up in one task: a second of a key has a million
-    microseconds, a day 86,400 seconds, and a key some thousand days.
+    groups of ``buckets[1]`` and so on, and hands the last right row of a stretch
+    on to the next one that needs it. Distinct left times are matched and joined
+    back, so neither a hot key nor a hot instant ends up in one task: unless told
+    otherwise, a stretch is an hour (a million for numbers), and a key has some
+    ten thousand hours. Where an hour of one key is too much for a task, let
+    ``buckets`` be ``(1_000_000, 86_400)``: seconds and days, at three more shuffles.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction is 'backward' or 'forward'")
@@ -54,6 +57,8 @@ def asof_join(
     if method not in ("window", "bucketed"):
         raise ValueError("method is 'window' or 'bucketed'")
     sign = 1 if direction == "backward" else -1
+    if buckets is None:
+        buckets = (HOUR_US if left.schema[left_on].dataType.typeName().startswith(("timestamp", "date")) else 1_000_000,)
 
     offered = right.select(
         *by,

@@ -11,7 +11,7 @@ from mergetide.functions.json_shred import json_object, repo_id, shred
 from mergetide.schemas import LEDGER, PULL_FIELDS, PULLS_SOURCE, PULLS_TYPE
 from mergetide.session import require_utc
 from mergetide.sources.admission import RUN, admit, page_news, run_cutoffs
-from mergetide.sources.landing import named_pages, read_landed
+from mergetide.sources.landing import named_pages, read_landed, timed_pages
 from mergetide.sources.marks import high_water_marks, latest_marks
 from mergetide.sources.tables import Store, read_ledger, read_marks, read_pulls, read_quarantine, read_raw, write_batch
 
@@ -84,7 +84,7 @@ def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str =
     spark = landed.sparkSession
     require_utc(spark)
     quarantine = on_error == "quarantine"
-    landed = named_pages(landed)
+    landed = named_pages(timed_pages(landed) if quarantine else landed)
 
     items = shred(
         landed, "body", PULL_FIELDS, keep=[*PAGE, "fetched_at"], on_error="report" if quarantine else "raise", keep_empty=True

@@ -55,15 +55,18 @@ def read_arrow_ipc(files: DataFrame, schema: str) -> DataFrame:
 
 def small_arrow(df: DataFrame, max_rows: int = 1_000_000) -> pa.Table:
     """A small result as an Arrow table with its schema, also when empty. Larger ones are refused, not cut."""
-    return _bounded(df, max_rows).toArrow()
+    table = df.limit(max_rows + 1).toArrow()
+    _refuse(table.num_rows, max_rows)
+    return table
 
 
 def small_pandas(df: DataFrame, max_rows: int = 1_000_000):
     """A small result as a pandas frame. Larger ones are refused, not cut."""
-    return _bounded(df, max_rows).toPandas()
+    frame = df.limit(max_rows + 1).toPandas()
+    _refuse(len(frame), max_rows)
+    return frame
 
 
-def _bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    if df.limit(max_rows + 1).count() > max_rows:
+def _refuse(n: int, max_rows: int) -> None:
+    if n > max_rows:
         raise ValueError(f"more than {max_rows} rows: export() them instead")
-    return df

@@ -266,3 +266,13 @@ def test_quarantined_batches_keep_their_numbers(spark, tmp_path):
         _land(spark, tmp_path / run, [(run, "o", "r", 1, "e", "2020-01-02T00:00:00Z", '[{"url": 1}]')])
         ingest_once(spark, str(tmp_path / run), store, on_error="quarantine")
     assert sorted(r.run_id for r in read_quarantine(spark, store).collect()) == ["1", "2"]
+
+
+def test_an_unreadable_time_sets_its_page_aside(spark, tmp_path):
+    good, bad = page("r1", 1, item(1, "2024-03-03")), list(page("r2", 2, item(2, "2024-03-04")))
+    bad[5] = "yesterday"
+    store = Store(str(tmp_path / "store"))
+    ingest_batch(landed(spark, good, tuple(bad)), store, 0, on_error="quarantine")
+    assert rows(read_raw(spark, store).select("run_id")) == [("r1",)]
+    (aside,) = read_quarantine(spark, store).collect()
+    assert aside["run_id"] == "r2" and aside["body"].startswith("page with an unreadable time yesterday: [{")

@@ -73,5 +73,9 @@ def test_hot_keys_are_cut(spark):
     assert windows and all("_bucket" in line for line in windows)
     joined = asof_join(df, df.selectExpr("k", "t as u", "v as w"), ["k"], "t", "u", ["w"])
     windows = [line for line in plan(joined).splitlines() if "- Window [" in line]
+    # Within an hour, and one over the hours of a key.
+    assert len(windows) == 2 and sum("_stretch" in line.split("windowspecdefinition(")[1] for line in windows) == 1
+    joined = asof_join(df, df.selectExpr("k", "t as u", "v as w"), ["k"], "t", "u", ["w"], buckets=(1_000_000, 86_400))
+    windows = [line for line in plan(joined).splitlines() if "- Window [" in line]
     # Within a second, within a day of seconds, and one over the days of a key.
     assert len(windows) == 3 and sum("_stretch" in line.split("windowspecdefinition(")[1] for line in windows) == 2
