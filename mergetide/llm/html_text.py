@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from mergetide.llm.token_counts import by_bytes
 
-SAMPLE_PAGES, SAMPLE_CHARS = 150, 40_000
+SAMPLE_PAGES, SAMPLE_CHARS = 150, 150 * 40_000
 # Element kinds of HTML, and words that tell what a block is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template textarea title head svg math select option button iframe object canvas".split())
@@ -363,11 +363,12 @@ def varied(page: str, spare: list[str], rng: random.Random) -> str:
 
 
 def fit(pages: list[str], seed: int = 7) -> BoostedTrees:
-    """The model of a bounded sample of pages, in the order given."""
+    """The model of a bounded sample of pages, in the order given; there must be one."""
+    if not pages:
+        raise ValueError("no page to fit on")
     rng = random.Random(seed)
     parsed = [parse(p) for p in pages]
     spare = [t for _, texts, _ in parsed for t in texts if len(t) > 20] or ["A short line of text to read, made up."]
-    pages = pages or ["<body><nav><a>one</a></nav><article><h1>two</h1><p>Three, four.</p></article><footer>five</footer></body>"]
     x, y = [], []
     for page in pages:
         for version in (page, varied(page, spare, rng), varied(page, spare, rng), varied(page, spare, rng)):
@@ -383,17 +384,39 @@ def main_text(page: str, model: BoostedTrees) -> str:
     return "\n".join(t for t, o in zip(texts, owners, strict=True) if chosen[o])
 
 
+def sampled(pages: DataFrame, html: str = "html", sample: int = SAMPLE_PAGES, most: int = SAMPLE_CHARS) -> list[str]:
+    """The different pages of least hash, ``sample`` of them at most and together of ``most`` characters.
+
+    Copies count once. A page of any length may be among them; one that does not fit beside
+    those before it gives way to the next, and if none fits, the shortest is taken.
+    """
+    texts = pages.select(F.col(html).cast("string").alias("html")).where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+    # Copies meet as two numbers each; the pages themselves are only read for those chosen.
+    heads = texts.select("h", F.length("html").alias("n")).distinct().orderBy("h", "n").limit(sample).collect()
+    chosen, left = [], most
+    for r in heads:
+        if r.n <= left:
+            chosen.append(r.h)
+            left -= r.n
+    if heads and not chosen:
+        chosen = [min(heads, key=lambda r: r.n).h]
+    rows = texts.where(F.col("h").isin(chosen)).distinct().orderBy("h", "html").collect() if chosen else []
+    return [r.html for r in rows]
+
+
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sample: int = SAMPLE_PAGES) -> DataFrame:
     """``keep`` columns and ``text``, the main text of each whole page; blocks are joined by line feeds.
 
     A null, empty or text-less page has the empty text. Markup that never closes is taken
     as it stands. Equal pages give equal texts. A kept column named ``text`` gives way. The
-    model is fitted on ``sample`` pages of at most SAMPLE_CHARS characters, those with the least hashes.
+    model is fitted on ``sample`` different pages, those with the least hashes, of SAMPLE_CHARS
+    characters together. If no page has a character, all texts are empty and nothing is fitted.
     """
     keep = tuple(k for k in keep if k != "text")
-    usable = pages.select(F.col(html).cast("string").alias("html")).where((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
-    rows = usable.withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(sample).collect()
-    model = fit([r.html for r in rows])
+    found = sampled(pages, html, sample)
+    if not found:
+        return pages.select(*keep, F.lit("").alias("text"))
+    model = fit(found)
     schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -252,6 +252,22 @@ def test_main_text():
     assert html_text.main_text("", model) == "" and html_text.main_text("<p" * 50, model) is not None
 
 
+def test_main_text_is_fitted_on_different_pages_of_any_length(spark, monkeypatch):
+    made = [f"<body><nav>{words(i, 3)}</nav><article><p>{words(i, 30 + 20_000 * (i % 3 == 0))}.</p></article></body>" for i in range(12)]
+    assert max(map(len, made)) > 40_000
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate(made * 30 + [None, ""])], "page_id long, html string")
+    seen, fit = [], html_text.fit
+    monkeypatch.setattr(html_text, "fit", lambda given: seen.append(given) or fit(given))
+    html_text.extract(pages, keep=("page_id",), sample=10)
+    html_text.extract(pages, keep=("page_id",))
+    html_text.extract(pages.where("length(html) > 40000"), keep=("page_id",))
+    assert [len(s) for s in seen] == [len(set(s)) for s in seen] == [10, 12, 4]
+    assert set(seen[1]) == set(made)
+    assert [len(html_text.sampled(pages, most=m)) for m in (1, 3 * min(map(len, made)))] == [1, 2]
+    blank = html_text.extract(pages.where("coalesce(html, '') = ''"), keep=("page_id",)).collect()
+    assert [r.text for r in blank] == ["", ""] and len(seen) == 3
+
+
 def test_registry():
     names = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
