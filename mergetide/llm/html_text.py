@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -69,6 +70,7 @@ class Node:
     parent: int
     depth: int
     hidden: bool
+    place: int = 0  # among its parent's children
     chars: int = 0
     linked: int = 0
     tags: int = 0
@@ -159,7 +161,7 @@ def parse(page: str) -> tuple[list[Node], list[str], list[int]]:
                 continue
             words = [_WORDS[w] for a in _ATTRIBUTE.findall(m[3]) for w in _WORD.findall("".join(a).lower()) if w in _WORDS]
             parent = stack[-1][1]
-            nodes.append(Node(name, words, parent, nodes[parent].depth + 1, silent > 0))
+            nodes.append(Node(name, words, parent, nodes[parent].depth + 1, silent > 0, len(nodes[parent].children)))
             nodes[parent].children.append(len(nodes) - 1)
             if not m[4]:
                 stack.append((name, len(nodes) - 1))
@@ -188,6 +190,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         if node.parent >= 0:
             for total in (chars, linked, tags, stops, paragraphs, size):
                 total[node.parent] += total[i]
+    alike = Counter((node.parent, node.tag) for node in nodes)
     out = np.zeros((n, OTHER_TAG + 1 + 2 * kinds + 18), np.float32)
     above = np.zeros((n, kinds + 5), np.float32)
     for i, node in enumerate(nodes):
@@ -206,12 +209,12 @@ def features(nodes: list[Node]) -> np.ndarray:
                 above[i, kinds + parent_group] = 1
             if parent_group == 6:
                 above[i, kinds + 4] = 1
-            place, siblings = p.children.index(i) if len(p.children) < 50 else 0, len(p.children)
+            siblings = len(p.children)
             row[-1] = siblings
-            row[-2] = place / siblings
+            row[-2] = node.place / siblings
             row[-3] = chars[i] / max(1.0, chars[node.parent])
             row[-4] = np.log1p(p.chars)
-            row[-5] = sum(nodes[c].tag == node.tag for c in p.children[:50]) / min(50, siblings)
+            row[-5] = alike[node.parent, node.tag] / siblings
         row[at + kinds : at + 2 * kinds] = above[i, :kinds]
         row[at + 2 * kinds : at + 2 * kinds + 5] = above[i, kinds:]
         row[-6] = min(node.depth, 12)

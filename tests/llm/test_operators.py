@@ -268,6 +268,16 @@ def test_main_text_is_fitted_on_different_pages_of_any_length(spark, monkeypatch
     assert [r.text for r in blank] == ["", ""] and len(seen) == 3
 
 
+@pytest.mark.parametrize("n", [3, 49, 50, 190])
+def test_siblings_are_told_by_place_and_tag_at_any_number(n):
+    nodes, _, _ = html_text.parse("<article>" + "<p>one.</p>" * n + "<div>two</div></article>")
+    x = html_text.features(nodes)
+    last = [i for i, node in enumerate(nodes) if node.tag == "div"][0]
+    below = nodes[nodes[last].parent].children
+    assert x[below, -2] == pytest.approx([k / (n + 1) for k in range(n + 1)])
+    assert x[below, -5] == pytest.approx([n / (n + 1)] * n + [1 / (n + 1)])
+
+
 def test_registry():
     names = entry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
