@@ -134,13 +134,13 @@ def _verify(percent: int):
     """Rows (a, b, text of a, text of b), sorted by b mostly, to the pairs whose sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, leader = None, None
+        last, leader = None, None
         for batch in batches:
             a, b = [], []
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for x, y, text, other in zip(*columns, strict=True):
-                if leader is None or name != (y, len(other)):
-                    name, leader = (y, len(other)), shingle_set(other)
+                if other != last:
+                    last, leader = other, shingle_set(other)
                 own = shingle_set(text)
                 shared = len(np.intersect1d(own, leader, assume_unique=True))
                 if 100 * shared >= percent * (len(own) + len(leader) - shared) and shared:
@@ -169,7 +169,7 @@ def _compare_blocks(percent: int):
         side = np.array([r[1] for r in rows])
         alone = len(set(side.tolist())) == 1
         for i, own in enumerate(sets):
-            if not alone and side[i] != 1:
+            if not len(own) or not alone and side[i] != 1:
                 continue
             begins, ends = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
             n = ends - begins
@@ -232,9 +232,10 @@ def near_duplicates(
     both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links = staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"))
 
-    # An id that stands for several texts links their classes.
-    ids = sketched.where("doc_id is not null and class is not null").join(classes, "class").where("doc_id <> node")
-    links = links.unionAll(ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b"))
+    # An id that stands for several texts links their classes: it is a node of its own, linked with all of theirs.
+    ids = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y"))
+    several = sketched.join(staged(ids.where("x <> y").select("doc_id")), "doc_id", "left_semi").join(classes, "class")
+    links = links.unionAll(several.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
     groups = staged(connected_components(links))
     more = _unsettled(leading, groups, texts, percent)
     if more.limit(1).count():
@@ -244,8 +245,9 @@ def near_duplicates(
         groups = staged(connected_components(found))
 
     named_rows = sketched.select("doc_id", "n_shingles", "class").join(classes, "class", "left")
-    out = named_rows.join(groups, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    # A text without words stands with the other texts of its id.
+    out = named_rows.withColumn("node", F.coalesce("node", "doc_id")).join(groups, "node", "left")
+    component = F.coalesce("component", "node")
     least = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -137,6 +138,25 @@ def test_blocks_settle_what_leaders_do_not(spark):
     assert [tuple(sorted(r)) for r in neardup._unsettled(leading, groups, named, 75).distinct().collect()][0] == (2, 3)
 
 
+def test_texts_of_one_id_are_linked(spark):
+    texts = {c: words(i * 11, 60) for i, c in enumerate("ABCDEFG")}
+    rows = [(1, "B"), (9, "A"), (9, "B"), (2, "C"), (3, "D"), (4, "E"), (20, "C"), (20, "D"), (20, "E"), (7, "F"), (30, "F"), (30, " "), (31, "G"), (32, " "), (32, None)]
+    df = spark.createDataFrame([(i, texts.get(t, t)) for i, t in rows], "doc_id long, text string")
+    want = {1: 1, 9: 1, 2: 2, 3: 2, 4: 2, 20: 2, 7: 7, 30: 7, 31: 31, 32: 32}
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, want[i], want[i] == i) for i, _ in rows)
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [1, 2, 7, 31, 32]
+
+
+def test_verification_tells_texts_of_one_id_apart():
+    one, two = (" ".join(f"{c}{i}" for i in range(40)).encode() for c in "xy")
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2], "b": [9, 9], "text_a": [one, two], "text_b": [one, two]})
+    assert [b.column("a").to_pylist() for b in neardup._verify(75)([batch])] == [[1, 2]]
+    rows = {"group": [5] * 4, "side": [1] * 4, "node": [1, 1, 2, 3], "component": [1, 1, 2, 3], "text": [b" ", one, one, two]}
+    blocks = list(neardup._compare_blocks(75)([pa.RecordBatch.from_pydict(rows)]))
+    assert {tuple(sorted(x)) for b in blocks for x in zip(*b.to_pydict().values(), strict=True)} == {(1, 2)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (10, 11), (7, 7)], "a long, b long").repartition(5)
     assert sorted(map(tuple, components.connected_components(links).collect())) == [(3, 3), (4, 3), (5, 3), (9, 3), (10, 10), (11, 10)]
