@@ -86,6 +86,17 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that contain an item."""
-    bad = staged(contained_items(docs, items, doc_id, text).select(F.col("doc_id").alias("_bad_id")).distinct())
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")), "left_anti")
+    """``docs`` without those that contain an item. Rows with one id go together; each row without an id is judged by its own text."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # Equal texts hold the same items, so the text's digest names a row without id.
+    named = docs.select(
+        F.struct(F.col(doc_id).alias("id"), F.when(F.col(doc_id).isNull(), F.sha2(body, 256)).alias("digest")).alias("key"),
+        F.col(text).alias("text"),
+    )
+    found = contained_items(named, items, "key", "text").select("doc_id.id", "doc_id.digest").distinct()
+    bad = staged(found)
+    of_id = bad.where("id is not null").select(F.col("id").alias("_bad_id"))
+    of_text = bad.where("id is null").select(F.col("digest").alias("_bad_digest"))
+    clean = docs.where(F.col(doc_id).isNotNull()).join(of_id, F.col(doc_id) == F.col("_bad_id"), "left_anti")
+    nameless = docs.where(F.col(doc_id).isNull()).join(of_text, F.sha2(body, 256) == F.col("_bad_digest"), "left_anti")
+    return clean.unionAll(nameless)

@@ -201,6 +201,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained_items(empty, items).count() == 0
 
 
+def test_decontamination_judges_rows_without_id_alone(spark):
+    item = words(78, 30)
+    halves = [" ".join(item.split()[:16]), " ".join(item.split()[14:])]
+    rows = [(None, f"{words(5, 99)} {item}"), (None, words(8, 99)), (None, None), (None, halves[0]), (None, halves[1]), (1, words(6, 99)), (2, item), (2, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.drop_contaminated(df, items)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows[1:6], key=str)
+
+
 def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
