@@ -185,7 +185,75 @@ select page_id, strlen(html) as payload_bytes,
 from firsts
 """
 
+HARD_NEGATIVES = """
+with vectors as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+),
+scored as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+  from vectors a join vectors b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::integer as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+_HALVES = "substr(word, 1, i) as before, substr(word, i + 2) as after"
+
+SPELLING = f"""
+with recursive crc_bytes as materialized (
+  select list(list_reduce(list_concat([b], range(8)), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t
+  from range(256) bytes(b)
+),
+runs as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) as run
+  from documents
+),
+hashed as (
+  select run, k, xor(4294967295, list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda ch: case when ord(ch) < 128 then [ord(ch)::bigint] else [195::bigint, ord(ch)::bigint - 64] end))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+  from (select id, run, count(*) as k from runs group by all), crc_bytes
+),
+words as materialized (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, sum(k)::bigint as n
+  from hashed group by word having length(word) >= 5 and sum(k) >= 3
+),
+holes as materialized (select word, n, i, {_HALVES} from (select word, n, unnest(range(length(word))) as i from words)),
+shorter as (select h.word, w.word as near from holes h join words w on w.word = h.before || h.after),
+near as materialized (
+  select word, near from shorter union select near, word from shorter
+  union select a.word, b.word from holes a join holes b on a.before = b.before and a.after = b.after and a.i = b.i and a.word <> b.word
+),
+best as (
+  select s.word, count(*) as n_near, arg_min(near, (-w.n, near)) as first, max(w.n) as near_n
+  from near s join words w on w.word = s.near group by s.word
+),
+told as materialized (
+  select word, n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * n then first end as form, case when near_n >= 2 * n then near_n end as form_n
+  from words left join best using (word)
+),
+walk as (
+  select word, word as at, form as next from told
+  union all
+  select w.word, w.next, t.form from walk w join told t on t.word = w.next
+)
+select t.word, t.form, w.at as root, t.n, t.n_near, t.form_n from told t join walk w on w.word = t.word and w.next is null
+"""
+
 SQL = {
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_spelling_variants": SPELLING,
     "op2_near_duplicates": NEAR_DUPLICATES,
     "op3_quality_rules": QUALITY,
     "op7_decontamination": DECONTAMINATION,

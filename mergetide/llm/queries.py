@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergetide.llm import decontaminate, html_text, neardup, oracle, packing, pii, quality, secrets, token_counts, token_files, warc
+from mergetide.llm import decontaminate, hard_negatives, html_text, neardup, oracle, packing, pii, quality, quality_classifier, secrets, spelling, token_counts, token_files, warc
 from mergetide.llm.common import new_folder, staged
 from mergetide.session import configure
 
@@ -104,6 +104,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.whole_vectors(_table(spark, sf_dir, "embeddings"), shifted)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def noisy_words(docs: DataFrame) -> DataFrame:
+    """The words of whole texts, one in 97 of them, told by a checksum, without one of its code points."""
+    run = F.col("run")
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.word_runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat("id", F.lit(":"), run))
+    place = (h % F.length(run)).cast("int")
+    cut = F.concat(run.substr(F.lit(1), place), run.substr(place + 2, F.length(run)))
+    return runs.select(F.when(h % 97 == 0, cut).otherwise(run).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(noisy_words(_table(spark, sf_dir, "documents"))))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    scored = quality_classifier.quality_scores(docs.withColumn("held_out", held_out), labels, ~held_out, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -117,6 +144,9 @@ QUERIES = {
         op8_secret_scan,
         op9_archives,
         op10_token_counts,
+        op11_hard_negatives,
+        op12_spelling_variants,
+        op13_quality_classifier,
     )
 }
 # The others hold a tokenizer, keyed digests or fitted trees; tests compare them with plain Python instead.
