@@ -9,10 +9,10 @@ that neither summation order nor rounding of halves can tell the results apart.
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from mergetide.functions.dates import (
     week_bin,
 )
 from mergetide.functions.json_shred import json_text, repo_id, shred
-from mergetide.functions.ranges import PRESET_DAYS, preset_range
+from mergetide.functions.ranges import PRESET_DAYS, preset_range, resolve_range
 from mergetide.operators.asof import asof_join
 from mergetide.operators.calendar import with_days
 from mergetide.operators.latest import latest_per_key
@@ -38,13 +38,17 @@ from mergetide.plans.views import register_views
 from mergetide.schemas import PULL_FIELDS
 from mergetide.session import configure, shared_dir
 from mergetide.sources.admission import admit, page_news, run_cutoffs
-from mergetide.sources.ingest import append_pages, ingest_once, raw_rows
-from mergetide.sources.landing import parse_repos
+from mergetide.sources.compaction import merge_batches, read_current
+from mergetide.sources.ingest import append_pages, claim_batch, ingest_once, raw_rows, retry_failed, set_aside
+from mergetide.sources.landing import parse_repos, read_landed
 from mergetide.sources.marks import high_water_marks, marks_or_default
 from mergetide.sources.order_pages import order_pages
-from mergetide.sources.sinks import arrow_ipc, export, read_arrow_ipc
-from mergetide.sources.tables import Store, read_pulls, read_raw
+from mergetide.sources.search_index import SearchIndex, add_documents, score_documents, search_index
+from mergetide.sources.search_index import merge_batches as merge_index
+from mergetide.sources.sinks import export, small_arrow
+from mergetide.sources.tables import Store, read_marks, read_pulls, read_raw
 from mergetide.streaming.ingest import start_ingest
+from mergetide.streaming.progress import ADMITTED, start_progress
 
 START, END = "1997-01-01 00:00:00", "1997-12-31 00:00:00"
 SHORT_START, SHORT_END = "1997-03-01 00:00:00", "1997-05-01 00:00:00"
@@ -58,6 +62,10 @@ RUNS = (
 )
 TAIL = 10_000_000
 CLOCK = datetime(2001, 6, 15, 13, 45)
+EARLY_CLOCK = datetime(1997, 6, 15, 13, 45)
+OFFSET_START, OFFSET_END = "1997-03-01T05:30:00+02:00", "1997-04-30T20:45:00-03:30"
+# Documents are added to the search index in these batches.
+INDEX_BATCHES = ("lang = 'en'", "lang = 'de'", "lang is null or lang not in ('en', 'de')")
 SEARCH = "der rest of that house"
 
 
@@ -338,22 +346,68 @@ def closed_count_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(metrics.closed_count(_pulls(spark, sf_dir), START, END))
 
 
+def closed_default_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No bounds given: the 30 days up to today's midnight."""
+    start, end = resolve_range(EARLY_CLOCK)
+    return _counts(metrics.closed_count(_pulls(spark, sf_dir), start, end))
+
+
+def closed_offset_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds with offsets from UTC, and no whole days."""
+    items = metrics.closed_items(_pulls(spark, sf_dir), OFFSET_START, OFFSET_END)
+    return items.select("url", "repo", "created_at", "merged_at", "updated_at", _text("closed_at"))
+
+
+def merged_duration_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric as the driver gets it: an Arrow table in order of day and repository, rows numbered as they come."""
+    durations = metrics.merged_duration_rolling(_pulls(spark, sf_dir), SHORT_START, SHORT_END)
+    table = small_arrow(durations)
+    numbered = table.append_column("position", pa.array(range(table.num_rows), pa.int64()))
+    return spark.createDataFrame(numbered).select(_text("day"), "repo", "duration", "position")
+
+
 def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.raw_freshness(_raw(spark, sf_dir))
 
 
+def store_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the marks of a store: neither pages nor items are read."""
+    root = shared_dir(spark)
+    _pages(spark, sf_dir).write.json(f"{root}/landing")
+    store = Store(f"{root}/store")
+    ingest_once(spark, f"{root}/landing", store)
+    return metrics.source_freshness(read_marks(spark, store))
+
+
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both charts in one table."""
     both = metrics.overview(_pulls(spark, sf_dir), SHORT_START, SHORT_END)
-    durations = both.durations.select(
-        F.lit("duration").alias("chart"), _text("day"), "repo", F.col("duration").alias("amount")
-    )
-    counts = both.counts.select(
+    return _charts(both.durations, both.counts)
+
+
+def _charts(durations: DataFrame, counts: DataFrame) -> DataFrame:
+    durations = durations.select(F.lit("duration").alias("chart"), _text("day"), "repo", F.col("duration").alias("amount"))
+    counts = counts.select(
         F.lit("closed").alias("chart"), _text("bin", "day"), "repo", F.col("count").cast("double").alias("amount")
     )
     return durations.unionByName(counts)
 
 
+def overview_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both charts from kept latest versions: three ingests, the first two merged."""
+    root = shared_dir(spark)
+    store = Store(f"{root}/store", buckets=8)
+    for number, pages in enumerate(_runs(spark, sf_dir)):
+        pages.write.json(f"{root}/landing-{number}")
+        ingest_once(spark, f"{root}/landing-{number}", store)
+        if number == 1:
+            merge_batches(spark, store)
+    current = read_current(spark, store)
+    closed = metrics.closed_among(current.latest(), SHORT_START, SHORT_END)
+    durations = metrics.merged_duration_rolling(current.versions(), SHORT_START, SHORT_END, latest=current.latest())
+    return _charts(durations, metrics.count_closed(closed, SHORT_START, SHORT_END))
+
+
 # --- ingest ----------------------------------------------------------------------
 
 
@@ -441,6 +495,52 @@ def stream_ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _admitted(spark, store)
 
 
+def stream_ingest_bad_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with broken pages between two good ones: its repositories with such a page are set aside, the stream goes on."""
+    root = shared_dir(spark)
+    store = Store(f"{root}/store")
+    broken = (F.col("owner") == "org1") & (F.col("page_no") % 5 == 0)
+    for number, pages in enumerate(_runs(spark, sf_dir)):
+        body = F.when(broken & F.lit(number == 1), F.lit("[{")).otherwise(F.col("body"))
+        pages.withColumn("body", body).write.mode("append").json(f"{root}/landing")
+        start_ingest(spark, f"{root}/landing", store, interval=None, on_error="isolate").awaitTermination()
+    return _admitted(spark, store)
+
+
+def retried_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second of three runs fails as a whole and is tried again after the third: by the marks from before it."""
+    root = shared_dir(spark)
+    store = Store(f"{root}/store")
+    for number, pages in enumerate(_runs(spark, sf_dir)):
+        pages.write.json(f"{root}/landing-{number}")
+        if number == 1:
+            failed = read_landed(spark, f"{root}/landing-{number}")
+            set_aside(failed, store, claim_batch(spark, store, "fetcher", number), "out of reach")
+        else:
+            ingest_once(spark, f"{root}/landing-{number}", store)
+    retry_failed(spark, store)
+    return _admitted(spark, store)
+
+
+def stream_ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages landed as plain files, taken by a stream; their folders tell everything else, etag included."""
+    root = shared_dir(spark)
+    told = ["run_id", "owner", "repo", "page_no", "etag"]
+    _pages(spark, sf_dir).select(*told, F.col("body").alias("value")).write.partitionBy(*told).text(f"{root}/landing")
+    store = Store(f"{root}/store")
+    start_ingest(spark, f"{root}/landing", store, interval=None, layout="files").awaitTermination()
+    return read_raw(spark, store).select("owner", "repo", "page_no", "etag", "metadata")
+
+
+def stream_keyed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three runs through a stream that keeps each repository's progress as its state, started again after each."""
+    root = shared_dir(spark)
+    for pages in _runs(spark, sf_dir):
+        pages.write.mode("append").json(f"{root}/landing")
+        start_progress(spark, f"{root}/landing", f"{root}/admitted", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(ADMITTED).parquet(f"{root}/admitted")
+
+
 # --- ad hoc SQL, export, search -----------------------------------------------------
 
 
@@ -554,18 +654,40 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed items as Arrow IPC files and back, all on executors."""
-    items = metrics.closed_items(_pulls(spark, sf_dir), START, END)
-    back = read_arrow_ipc(arrow_ipc(items), items.schema.simpleString()[len("struct<") : -1])
-    return back.select("url", "repo", "created_at", "merged_at", "updated_at", _text("closed_at"))
+    """Closed items as the driver gets them: one Arrow table, refused if it were large."""
+    closed = metrics.closed_items(_pulls(spark, sf_dir), START, END)
+    items = spark.createDataFrame(small_arrow(closed), closed.schema)
+    return items.select("url", "repo", "created_at", "merged_at", "updated_at", _text("closed_at"))
+
+
+def _index(spark: SparkSession, sf_dir: str, merged: bool) -> SearchIndex:
+    index, docs = SearchIndex(shared_dir(spark)), _table(spark, sf_dir, "documents")
+    for batch in INDEX_BATCHES:
+        add_documents(docs.where(batch), index, "doc_id", "text")
+    if merged:
+        merge_index(spark, index)
+    return index
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index of three batches."""
+    scored = score_documents(spark, _index(spark, sf_dir, merged=False), SEARCH)
+    return scored.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index whose batches were merged."""
+    best = search_index(spark, _index(spark, sf_dir, merged=True), SEARCH, k=10)
+    return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an index, straight from the texts."""
     scored = bm25(_table(spark, sf_dir, "documents"), "doc_id", "text", SEARCH)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
-def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_scan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = search(_table(spark, sf_dir, "documents"), "doc_id", "text", SEARCH, k=10)
     return best.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -579,11 +701,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _llm() -> tuple[dict, dict]:
-    """Queries and SQL of the training-data operators; both empty where that subpackage is not installed."""
-    if not (importlib.util.find_spec("mergetide.llm") and importlib.util.find_spec("corpus_pipeline")):
+    """Queries and SQL of the training-data operators; both empty where that subpackage cannot be imported."""
+    try:
+        import corpus_pipeline
+        from mergetide.llm import queries as llm
+    except ImportError:
         return {}, {}
-    import corpus_pipeline
-    from mergetide.llm import queries as llm
 
     pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, {**llm.ORACLE_SQL, **pipeline_sql}
@@ -623,8 +746,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "closed_items_repos": closed_items_repos,
         "closed_count_day": closed_count_day,
         "closed_count_week": closed_count_week,
+        "closed_default_range": closed_default_range,
+        "closed_offset_range": closed_offset_range,
+        "merged_duration_ordered": merged_duration_ordered,
         "source_freshness": source_freshness,
+        "store_freshness": store_freshness,
         "overview": overview,
+        "overview_kept": overview_kept,
         "high_water_marks": high_water,
         "marks_or_default": marks_with_defaults,
         "page_admission": page_admission,
@@ -632,12 +760,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest_equals_batch": stream_ingest,
         "ingest_once_batches": ingest_once_batches,
         "stream_ingest_batches": stream_ingest_batches,
+        "stream_ingest_bad_run": stream_ingest_bad_run,
+        "stream_ingest_files": stream_ingest_files,
+        "stream_keyed_progress": stream_keyed_progress,
+        "retried_run": retried_run,
         "adhoc_sql_views": adhoc_sql_views,
         **{name: _sql(text, *tables) for name, (text, tables) in ADHOC.items()},
         "export_roundtrip": export_roundtrip,
         "export_arrow": export_arrow,
         "bm25_scores": bm25_scores,
         "bm25_search": bm25_search,
+        "bm25_scan": bm25_scan,
+        "bm25_scan_search": bm25_scan_search,
         **_llm()[0],
     }
 
@@ -690,19 +824,26 @@ marks as (
 _MARKS = _marks_sql(f"updated_at < timestamp '{STORED_BEFORE}' and owner <> 'org2'")
 
 
-def _batches_sql() -> str:
-    """Run after run: the mark is what earlier runs' admitted pages reach, the first page below it ends a run."""
-    steps, earlier = [], []
-    for n, (start, tail, end) in enumerate(RUNS):
+def _batches_sql(order: tuple = ((0, ()), (1, (0,)), (2, (0, 1))), bad: str = "false") -> str:
+    """Runs one after another, each with the runs its marks come from; the first page below the mark ends a run.
+
+    ``bad`` pages spoil the second run of their repository.
+    """
+    steps = []
+    for n, earlier in order:
+        start, tail, end = RUNS[n]
         reached = " union all ".join(f"select owner, name, newest from admitted{m}" for m in earlier) or (
             "select owner, name, timestamp '1970-01-01 00:00:00' as newest from pages"
         )
         steps.append(f""",
-run{n} as (
+fetched{n} as (
     select 'run-{n}' as run_id, owner, name, items, newest,
            cast(page_no + case when newest < timestamp '{start}' then {TAIL} else 0 end as integer) as page_no
     from pages where newest >= timestamp '{tail}' and newest < timestamp '{end}'
 ),
+run{n} as (
+    select * from fetched{n} where (owner, name) not in (select (owner, name) from fetched{n} where {bad if n == 1 else "false"})
+),
 mark{n} as (select owner, name, max(newest) as mark from ({reached}) group by all),
 stop{n} as (
     select r.owner, r.name, min(r.page_no) as first_stale from run{n} r
@@ -712,10 +853,9 @@ admitted{n} as (
     select r.* from run{n} r left join stop{n} s on r.owner = s.owner and r.name = s.name
     where s.first_stale is null or r.page_no < s.first_stale
 )""")
-        earlier.append(n)
     pages = ",\npages as (select owner, name, page_no, max(updated_at) as newest, count(*) as items from pulls group by all)"
     shown = "select run_id, owner, name as repo, page_no, items from admitted"
-    return f"with {_PRS}{pages}{''.join(steps)}\n" + " union all ".join(f"{shown}{n}" for n in earlier)
+    return f"with {_PRS}{pages}{''.join(steps)}\n" + " union all ".join(f"{shown}{n}" for n, _ in order)
 
 
 # Mean of epoch(age(merged_at, created_at)) / 86400 over the 30 days up to created_at, summed in whole microseconds.
@@ -923,9 +1063,22 @@ def oracle_sql() -> dict[str, str]:
             counts as (select closed_at as bin, repo, count(*) as count from closed group by all)
             select format, bin, repo, count from counts, (select unnest(['parquet', 'csv', 'json']) as format)""",
         "export_arrow": f"with {_closed_sql(START, END)} select {shown} from closed",
+        "closed_default_range": f"""with {_closed_sql("1997-05-16", "1997-06-15")}
+            select closed_at as bin, repo, count(*) as count from closed group by all""",
+        "closed_offset_range": f"""with {_closed_sql("1997-03-01 03:30:00", "1997-05-01 00:15:00")} select {shown} from closed""",
+        "merged_duration_ordered": f"""with {_rolling_sql(SHORT_START, SHORT_END)}
+            select day, repo, duration, row_number() over (order by day, repo nulls last) - 1 as position from durations""",
+        "stream_ingest_bad_run": _batches_sql(bad="owner = 'org1' and page_no % 5 = 0"),
+        "stream_keyed_progress": f"select run_id, owner, repo, page_no from ({_batches_sql()})",
+        "retried_run": _batches_sql(order=((0, ()), (2, (0,)), (1, (0,)))),
+        "stream_ingest_files": f"""with {_PRS} select distinct owner, name as repo, page_no, 'etag-' || page_no as etag,
+            cast(to_json({{owner: owner, repo: name, etag: 'etag-' || page_no}}) as varchar) as metadata from pulls""",
+        "bm25_scan": f"{_BM25} select doc_id, score from scores",
+        "bm25_scan_search": f"{_BM25} select doc_id, score from scores order by score desc, doc_id limit 10",
         "bm25_scores": f"{_BM25} select doc_id, score from scores",
         "bm25_search": f"{_BM25} select doc_id, score from scores order by score desc, doc_id limit 10",
     }
+    sql |= {"store_freshness": sql["source_freshness"], "overview_kept": sql["overview"]}
     for name, (text, tables) in ADHOC.items():
         sql[name] = text.format(**{table: table for table in tables})
     return sql | _llm()[1]

@@ -24,9 +24,14 @@ def _floor_div(value: str, size: int) -> Column:
     return F.expr(f"({value} - pmod({value}, {size}L)) div {size}L")
 
 
-def _slice_width(width: int) -> int:
-    """The divisor of ``width`` closest to its root from below."""
-    return next(d for d in range(math.isqrt(width), 0, -1) if width % d == 0)
+def _slices(width: int) -> tuple[int, int]:
+    """A slice of about the root of ``width``, and what whole slices leave of it: nothing, or 2 at least."""
+    root = math.isqrt(width)
+    for size in range(root, max(root // 2, 1), -1):
+        if width % size == 0:
+            return size, 0
+    size = max(root, 2)
+    return size, width % size + (size if width % size == 1 else 0)
 
 
 def _self_asked(facts: DataFrame, by: Sequence[str], width: int, shift: int = 0) -> DataFrame:
@@ -84,12 +89,26 @@ def _frame_sums(
     instants: DataFrame, probes: DataFrame | None, by: Sequence[str], width: int, grain: int
 ) -> DataFrame:
     """``probes`` (by default the instants themselves) with parts that add up to the facts of their frames."""
+    if width // grain <= INSTANTS_PER_TASK or math.isqrt(width) < 3:
+        rows = _self_asked(instants, by, width) if probes is None else _asked_by(instants, probes, width)
+        return _end_sums(rows, by, width)
+    slice_width, rest = _slices(width)
+    if rest:
+        # [at - width, at] is [at - main, at] and, before it, a short frame that ends where that begins.
+        main = width - rest
+        asked = instants.select(*by, F.col("_t").alias("_at")) if probes is None else probes
+        ended = asked.where(F.col("_at").isNotNull()).withColumn("_at", F.col("_at") - (main + 1))
+        older = _end_sums(_asked_by(instants, ended, rest - 1), by, rest - 1).withColumn("_at", F.col("_at") + (main + 1))
+        return _sliced_sums(instants, probes, by, main, slice_width).unionByName(older)
+    return _sliced_sums(instants, probes, by, width, slice_width)
+
+
+def _sliced_sums(
+    instants: DataFrame, probes: DataFrame | None, by: Sequence[str], width: int, slice_width: int
+) -> DataFrame:
+    """``_frame_sums`` of a width that is a whole number of slices, three at least."""
     rows = _self_asked(instants, by, width) if probes is None else _asked_by(instants, probes, width)
-    slice_width = _slice_width(width)
     slices = width // slice_width
-    if width // grain <= INSTANTS_PER_TASK or slices < 3 or slice_width == 1:
-        return _end_sums(rows, by, width)
-
     # The ends reach into a slice each. The whole slices between are a frame over one sum per slice,
     # from the one after the tail's to the one before the head's, and open the head's slice.
     per_slice = (
@@ -134,8 +153,9 @@ def rolling_avg_at(
     map-side, so a hot key or instant shrinks before it is shuffled. Keys are then
     cut into buckets of ``width``. If a bucket may still hold too many instants,
     frames are put together from slices of about the root of ``width``: their two
-    ends from instants, the whole slices between from one sum per slice. That
-    holds a task to a few million small rows of a key whatever the data is like.
+    ends from instants, the whole slices between from one sum per slice, and what a
+    width leaves over whole slices as a short frame of its own. That holds a task to a
+    few million small rows of a key whatever the data and the width are like.
     """
     asked = probes.distinct().withColumn("_at", order_key(probes, on))
     parts = _frame_sums(_instants(facts, by, on, value), asked, by, width, grain)

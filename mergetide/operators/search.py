@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergetide.functions.text import WORD_BREAK, words
+from mergetide.functions.text import words
 
 # Fixed values of the published formula.
 K1 = 1.2
 B = 0.75
 
 
-def query_terms(query: str) -> list[str]:
-    """The distinct words of a query, split as documents are."""
-    import regex
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The distinct words of a query, split as documents are, by the same expression."""
+    return spark.range(1).select(F.array_distinct(words(F.lit(query)))).first()[0]
 
-    return list(dict.fromkeys(w for w in regex.split(WORD_BREAK, query.lower()) if w))
+
+def bm25_weight(tf: Column, length: Column, n: Column, mean_length: Column, df: Column) -> Column:
+    """What one word adds to a document's score."""
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
@@ -43,7 +47,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, stage: str | N
     scalar subquery. Text is read twice, or once if ``stage`` names a folder to
     keep the counts in: a few bytes per document.
     """
-    terms = query_terms(query)
+    terms = query_terms(docs.sparkSession, query)
     if not terms:
         return docs.select(id_col, F.lit(None).cast("double").alias("score")).where(F.lit(False))
     counts = term_counts(docs, id_col, text_col, terms)
@@ -59,12 +63,11 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, stage: str | N
         ).alias("totals")
     )
     total = F.col("_totals")
-    norm = K1 * (1 - B + B * F.col("length") / total["mean_length"])
 
     def part(i: int) -> Column:
-        tf, df = F.col("tf")[i], total["df"][i]
-        idf = F.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
-        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
+        tf = F.col("tf")[i]
+        weight = bm25_weight(tf, F.col("length"), total["n"], total["mean_length"], total["df"][i])
+        return F.when(tf > 0, weight).otherwise(0.0)
 
     score = part(0)
     for i in range(1, len(terms)):

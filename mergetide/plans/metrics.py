@@ -117,6 +117,7 @@ def merged_duration_rolling(
     drop_unmatched: bool = False,
     age: str = "calendar",
     stage: str | None = None,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """``(day, repo, duration)``: days to merge, 30-day rolling average, for every day and repository.
 
@@ -129,9 +130,12 @@ def merged_duration_rolling(
     The merged pull requests are needed twice. Both uses share the shuffle that
     finds them, but each sorts what it receives; on a long history name a folder
     to ``stage`` them in instead: four narrow columns per merge.
+
+    ``latest`` are the selected repositories' newest versions where something keeps them
+    (``sources.compaction.read_current``); then ``pulls`` only says which repositories there are.
     """
     require_utc(pulls.sparkSession)
-    latest = latest_pulls(pulls, repos, excluded)
+    latest = latest_pulls(pulls, repos, excluded) if latest is None else latest
     if repos is None or (not isinstance(repos, DataFrame) and not repos):
         days_for = distinct_repos(select_repos(pulls, None, excluded))
     else:
@@ -141,7 +145,8 @@ def merged_duration_rolling(
     return result.orderBy(F.asc("day"), F.asc_nulls_last("repo"))
 
 
-def _closed(latest: DataFrame, start: Moment, end: Moment) -> DataFrame:
+def closed_among(latest: DataFrame, start: Moment, end: Moment) -> DataFrame:
+    """Of the newest versions those closed between two instants. On kept ones the range reaches their scan."""
     # On the timestamp: after midnight of the end date is out of range.
     in_range = F.col("closed_at").between(timestamp_lit(start), timestamp_lit(end))
     return latest.where(in_range).select(
@@ -153,7 +158,7 @@ def closed_items(
     pulls: DataFrame, start: Moment, end: Moment, repos: Repos | None = None, excluded: Repos | None = None
 ) -> DataFrame:
     """Pull requests closed, merged or not, between two instants (inclusive)."""
-    return _closed(latest_pulls(pulls, repos, excluded), start, end)
+    return closed_among(latest_pulls(pulls, repos, excluded), start, end)
 
 
 def _count(closed: DataFrame, unit: str) -> DataFrame:
@@ -179,13 +184,22 @@ def closed_count(
     unit: str | None = None,
 ) -> DataFrame:
     """``(bin, repo, count)`` of closed pull requests by day, or by Sunday week for spans over 70 days."""
-    return _count(closed_items(pulls, start, end, repos, excluded), _unit(start, end, unit))
+    return count_closed(closed_items(pulls, start, end, repos, excluded), start, end, unit)
+
+
+def count_closed(closed: DataFrame, start: Moment, end: Moment, unit: str | None = None) -> DataFrame:
+    """``closed_count`` of the closed items of a range."""
+    return _count(closed, _unit(start, end, unit))
 
 
-def source_freshness(pulls: DataFrame) -> DataFrame:
-    """One row: the latest item update (epoch if there is no data), as timestamp and text."""
+def source_freshness(marks: DataFrame) -> DataFrame:
+    """One row: the latest item update (epoch if there is no data), as timestamp and text.
+
+    From the marks of a store, a row for each repository and batch, which know it already;
+    or from ``pulls``, where nothing keeps marks.
+    """
     latest = F.coalesce(F.max("updated_at"), timestamp_lit(EPOCH))
-    return pulls.agg(latest.alias("updated_at")).withColumn("updated_at_text", iso_utc("updated_at"))
+    return marks.agg(latest.alias("updated_at")).withColumn("updated_at_text", iso_utc("updated_at"))
 
 
 def raw_freshness(raw: DataFrame) -> DataFrame:
@@ -219,5 +233,5 @@ def overview(
     if cache:
         latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
     durations = _rolling(latest, distinct_repos(pulls), start, end)
-    counts = _count(_closed(latest, start, end), _unit(start, end, unit))
+    counts = _count(closed_among(latest, start, end), _unit(start, end, unit))
     return Overview(durations.orderBy(F.asc("day"), F.asc_nulls_last("repo")), counts, latest)

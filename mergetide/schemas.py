@@ -33,10 +33,17 @@ MARKS = """
     raw_created_at timestamp_ntz, raw_id bigint, batch_id bigint
 """
 
-LEDGER = "batch_id bigint, writer string, step bigint"
-
 QUARANTINE = LANDED_PAGE + ", error string, batch_id bigint"
 
+# All pages of runs that failed. Tried again, they are judged by the marks from before batch ``marks_before``.
+FAILED = LANDED_PAGE + ", error string, batch_id bigint, marks_before bigint, attempt int"
+
+# Which failed batches another batch has tried again.
+RETRIES = "failed_batch bigint, batch_id bigint"
+
+# The newest version of each pull request per repository; ``shared`` if several repositories carry its url.
+LATEST = PULLS + ", shared boolean"
+
 REPO_FIELDS = (
     JsonField("name", "base.repo.name", "string"),
     JsonField("login", "base.repo.owner.login", "string"),

@@ -8,12 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergetide.functions.json_shred import json_object, repo_id, shred
-from mergetide.schemas import LEDGER, PULL_FIELDS, PULLS_SOURCE, PULLS_TYPE
+from mergetide.schemas import LANDED_PAGE, PULL_FIELDS, PULLS_SOURCE, PULLS_TYPE
 from mergetide.session import require_utc
 from mergetide.sources.admission import RUN, admit, page_news, run_cutoffs
+from mergetide.sources.commits import claim_number, commit_batch, is_committed
 from mergetide.sources.landing import named_pages, read_landed, timed_pages
 from mergetide.sources.marks import high_water_marks, latest_marks
-from mergetide.sources.tables import Store, read_ledger, read_marks, read_pulls, read_quarantine, read_raw, write_batch
+from mergetide.sources.tables import (
+    FAILED_TABLE,
+    MARKS_TABLE,
+    PULLS_TABLE,
+    QUARANTINE_TABLE,
+    RAW,
+    RETRIES_TABLE,
+    Store,
+    read_batch,
+    read_failed,
+    read_marks,
+    write_batch,
+)
 
 PAGE = [*RUN, "page_no"]
 
@@ -53,8 +66,9 @@ def raw_rows(pages: DataFrame, batch_id: int) -> DataFrame:
 
 
 def append_pages(pages: DataFrame, store: Store, batch_id: int) -> None:
-    """Add landed pages to the raw table as they are."""
-    write_batch(raw_rows(pages, batch_id), store.raw, "data_source", "data_type")
+    """Add landed pages to the raw table as they are, as a batch of their own."""
+    write_batch(raw_rows(pages, batch_id), store, RAW, batch_id)
+    commit_batch(pages.sparkSession, store.home, batch_id)
 
 
 def _stage(df: DataFrame, store: Store, name: str) -> DataFrame:
@@ -68,42 +82,63 @@ def _stage(df: DataFrame, store: Store, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str = "raise") -> None:
+def ingest_batch(
+    landed: DataFrame,
+    store: Store,
+    batch_id: int,
+    on_error: str = "raise",
+    marks_before: int | None = None,
+    retry_of: int | None = None,
+    attempt: int = 1,
+) -> None:
     """Admit the pages with news, append them to the raw table and their items to ``pulls``, move the marks.
 
-    A batch may be run again after a failure: it sees the marks of earlier
-    batches only and replaces what it wrote before. Its pages become visible
-    together. ``on_error="quarantine"`` sets a page with a bad item aside, with
-    the reason, and goes on without it.
+    All a batch writes becomes visible at once, by its commit record. A batch that is
+    committed is not done again; one that broke off is, and replaces what it left. It sees
+    the marks of batches before it, or before ``marks_before``.
+
+    A bad item fails the batch (``on_error="raise"``); or sets its page aside, with the
+    reason (``"quarantine"``); or sets its run of that repository aside, all pages of it,
+    to be tried again (``"isolate"``, see ``retry_failed``).
 
     The text is parsed once and never shuffled unless the table of cutoffs is too
     large to broadcast; everything in between runs on shredded rows.
     """
-    if on_error not in ("raise", "quarantine"):
-        raise ValueError("on_error is 'raise' or 'quarantine'")
+    if on_error not in ("raise", "quarantine", "isolate"):
+        raise ValueError("on_error is 'raise', 'quarantine' or 'isolate'")
     spark = landed.sparkSession
     require_utc(spark)
-    quarantine = on_error == "quarantine"
-    landed = named_pages(timed_pages(landed) if quarantine else landed)
+    if is_committed(spark, store.home, batch_id):
+        return
+    lenient = on_error != "raise"
+    number = F.lit(batch_id).cast("long")
+    before = batch_id if marks_before is None else marks_before
+    landed = named_pages(timed_pages(landed) if lenient else landed)
 
     items = shred(
-        landed, "body", PULL_FIELDS, keep=[*PAGE, "fetched_at"], on_error="report" if quarantine else "raise", keep_empty=True
+        landed, "body", PULL_FIELDS, keep=[*PAGE, "fetched_at"], on_error="report" if lenient else "raise", keep_empty=True
     )
     items = _stage(items, store, f"items-{batch_id}")
 
-    if quarantine:
-        faults = items.where(F.col("error").isNotNull()).groupBy(*PAGE).agg(F.min("error").alias("error"))
+    if lenient:
+        # What is set aside: single pages, or whole runs.
+        unit, table = (PAGE, QUARANTINE_TABLE) if on_error == "quarantine" else (RUN, FAILED_TABLE)
+        faults = items.where(F.col("error").isNotNull()).groupBy(*unit).agg(F.min("error").alias("error"))
         faults = _stage(faults, store, f"faults-{batch_id}")
-        bad_pages = landed.join(faults, PAGE).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        write_batch(bad_pages, store.quarantine)
-        items = items.join(faults.select(*PAGE), PAGE, "left_anti").drop("error")
-        landed = landed.join(faults.select(*PAGE), PAGE, "left_anti")
-
-    marks = latest_marks(read_marks(spark, store), before=batch_id)
+        aside = landed.join(faults, unit).withColumn("batch_id", number)
+        if on_error == "isolate":
+            aside = aside.withColumns({"marks_before": F.lit(before).cast("long"), "attempt": F.lit(attempt)})
+        write_batch(aside, store, table, batch_id)
+        items = items.join(faults.select(*unit), unit, "left_anti").drop("error")
+        landed = landed.join(faults.select(*unit), unit, "left_anti")
+    if retry_of is not None:
+        _note_retry(spark, store, retry_of, batch_id)
+
+    marks = latest_marks(read_marks(spark, store), before=before)
     cutoffs = _stage(run_cutoffs(page_news(items), marks), store, f"cutoffs-{batch_id}")
-    append_pages(admit(landed, cutoffs), store, batch_id)
+    write_batch(raw_rows(admit(landed, cutoffs), batch_id), store, RAW, batch_id)
 
-    written = read_raw(spark, store).where(F.col("batch_id") == batch_id)
+    written = read_batch(spark, store, RAW, batch_id)
     ids = written.groupBy(*PAGE).agg(
         F.max(F.struct("id", "etag", F.col("created_at").alias("raw_created_at"))).alias("_page")
     )
@@ -125,33 +160,85 @@ def ingest_batch(landed: DataFrame, store: Store, batch_id: int, on_error: str =
             F.col("repo").alias("page_repo"),
             F.col("_page.etag").alias("etag"),
             F.col("_page.raw_created_at").alias("raw_created_at"),
-            F.lit(batch_id).cast("long").alias("batch_id"),
+            number.alias("batch_id"),
         )
     )
     # In order of repository, so that row groups can be skipped by it.
-    write_batch(pulls.sortWithinPartitions("batch_id", "repo", "url"), store.pulls)
+    write_batch(pulls.sortWithinPartitions("repo", "url"), store, PULLS_TABLE, batch_id)
 
-    moved = high_water_marks(read_pulls(spark, store).where(F.col("batch_id") == batch_id))
-    write_batch(moved.withColumn("batch_id", F.lit(batch_id).cast("long")), store.marks)
+    moved = high_water_marks(read_batch(spark, store, PULLS_TABLE, batch_id))
+    write_batch(moved.withColumn("batch_id", number), store, MARKS_TABLE, batch_id)
+    commit_batch(spark, store.home, batch_id)
 
 
-def claim_batch(spark: SparkSession, store: Store, writer: str, step: int = 0) -> int:
-    """The store's number for a writer's ``step``: the one it was given before, or a new one.
+def _note_retry(spark: SparkSession, store: Store, failed: int, batch_id: int) -> None:
+    noted = spark.range(1).select(F.lit(failed).cast("long").alias("failed_batch"), F.lit(batch_id).cast("long").alias("batch_id"))
+    write_batch(noted, store, RETRIES_TABLE, batch_id)
+
+
+def set_aside(
+    landed: DataFrame,
+    store: Store,
+    batch_id: int,
+    reason: str,
+    marks_before: int | None = None,
+    retry_of: int | None = None,
+    attempt: int = 1,
+) -> None:
+    """All pages of a batch that could not be ingested, kept with the reason to be tried again."""
+    spark = landed.sparkSession
+    if is_committed(spark, store.home, batch_id):
+        return
+    kept = landed.withColumns(
+        {
+            "error": F.lit(reason),
+            "batch_id": F.lit(batch_id).cast("long"),
+            "marks_before": F.lit(batch_id if marks_before is None else marks_before).cast("long"),
+            "attempt": F.lit(attempt),
+        }
+    )
+    write_batch(kept, store, FAILED_TABLE, batch_id)
+    if retry_of is not None:
+        _note_retry(spark, store, retry_of, batch_id)
+    commit_batch(spark, store.home, batch_id)
+
+
+def ingest_or_set_aside(landed: DataFrame, store: Store, batch_id: int, on_error: str, **retry) -> bool:
+    """``ingest_batch``; what else goes wrong sets the whole batch aside. Returns whether it was ingested.
 
-    One-shot runs and streams share the store, so they share its numbers. The claim is
-    written before the batch, and stays if nothing comes of it: a number is never
-    given twice, even when all pages of its batch were set aside. One writer claims at a time.
+    Only an error that keeps the pages from being set aside, too, is raised.
     """
-    ledger = read_ledger(spark, store)
-    own = ledger.where((F.col("writer") == writer) & (F.col("step") == step)).agg(F.min("batch_id")).first()[0]
-    if own is not None:
-        return own
-    # Stores from before the ledger have numbers in their tables only.
-    tables = (ledger, read_marks(spark, store), read_raw(spark, store), read_quarantine(spark, store))
-    last = [t.agg(F.max("batch_id")).first()[0] for t in tables]
-    batch_id = 1 + max((n for n in last if n is not None), default=-1)
-    spark.createDataFrame([(batch_id, writer, step)], LEDGER).coalesce(1).write.mode("append").parquet(store.ledger)
-    return batch_id
+    try:
+        ingest_batch(landed, store, batch_id, on_error, **retry)
+        return True
+    except Exception as error:  # whatever it is, the pages are kept and the next batch goes on
+        set_aside(landed, store, batch_id, f"{type(error).__name__}: {error}"[:2000], **retry)
+        return False
+
+
+def retry_failed(spark: SparkSession, store: Store, attempts: int = 3) -> list[int]:
+    """Tries runs that failed once more; returns the numbers of the new batches.
+
+    Each failed batch gives one, claimed under its name, so that a retry that broke off is
+    taken up again. Its pages are judged by the marks from before they first failed: what
+    came in since does not make them stale. After ``attempts`` in all they stay set aside.
+    """
+    failed = read_failed(spark, store)
+    waiting = failed.where(F.col("attempt") < attempts).groupBy("batch_id").agg(F.max("attempt").alias("attempt"), F.min("marks_before").alias("before"))
+    done = []
+    for row in waiting.orderBy("batch_id").collect():  # one row for each failed batch
+        number = claim_batch(spark, store, f"retry-{row.batch_id}")
+        pages = failed.where(F.col("batch_id") == row.batch_id).select(*spark.createDataFrame([], LANDED_PAGE).columns)
+        ingest_or_set_aside(
+            pages, store, number, "isolate", marks_before=row.before, retry_of=row.batch_id, attempt=row.attempt + 1
+        )
+        done.append(number)
+    return done
+
+
+def claim_batch(spark: SparkSession, store: Store, writer: str, step: int = 0) -> int:
+    """The store's number for a writer's ``step``; see ``commits.claim_number``."""
+    return claim_number(spark, store.home, writer, step)
 
 
 def ingest_once(

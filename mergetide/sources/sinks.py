@@ -1,12 +1,11 @@
-"""Where results go."""
+"""Where results go: files from the executors, or, if small, Arrow and pandas on the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "csv", "json")
 
@@ -25,36 +24,12 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorife
     writer.format(fmt).save(path)
 
 
-def arrow_ipc(df: DataFrame) -> DataFrame:
-    """``(part, ipc)``: the rows as Arrow IPC files, one per Arrow batch, made where the rows are."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_file(sink, batch.schema) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["ipc"]
-            )
-
-    return df.mapInArrow(encode, "ipc binary").select(F.spark_partition_id().alias("part"), "ipc")
-
-
-def read_arrow_ipc(files: DataFrame, schema: str) -> DataFrame:
-    """The rows inside ``arrow_ipc`` output (or other small IPC files in a binary column ``ipc``)."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("ipc"):
-                with pa.ipc.open_file(content.as_buffer()) as reader:
-                    for number in range(reader.num_record_batches):
-                        yield reader.get_batch(number)
-
-    return files.select("ipc").mapInArrow(decode, schema)
-
-
 def small_arrow(df: DataFrame, max_rows: int = 1_000_000) -> pa.Table:
-    """A small result as an Arrow table with its schema, also when empty. Larger ones are refused, not cut."""
+    """A small result as an Arrow table in the result's order, with its schema also when empty.
+
+    One run of the query; at most ``max_rows`` and one more row reach the driver. A larger
+    result is refused, not cut: ``export`` it, from where Arrow readers take it as Parquet.
+    """
     table = df.limit(max_rows + 1).toArrow()
     _refuse(table.num_rows, max_rows)
     return table

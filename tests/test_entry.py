@@ -17,7 +17,7 @@ TYPES = {
     "TIMESTAMP": "timestamp_ntz",
 }
 # Writing sinks or Arrow conversion aside, nothing leaves the JVM.
-USES_PYTHON = {"export_arrow"}
+USES_PYTHON = {"export_arrow", "merged_duration_ordered"}
 
 
 @pytest.fixture(scope="module")

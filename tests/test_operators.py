@@ -12,7 +12,7 @@ from mergetide.operators.asof import asof_join
 from mergetide.operators.latest import latest_per_key
 from mergetide.operators.repos import drop_repos, keep_repos
 from mergetide.operators.rolling import rolling_avg_at, rolling_range_avg
-from mergetide.operators.search import bm25, query_terms, search
+from mergetide.operators.search import bm25, search
 from tests.helpers import EPOCH, plan, rows, ts
 
 
@@ -83,7 +83,9 @@ def same(found, expected):
         assert value is None or math.isclose(found[i], value, rel_tol=1e-12)
 
 
-@pytest.mark.parametrize("unit,width", [(1, 60), (1, 30 * 36), (1_000_000, 30 * DAY_US), (977, 97_000)])
+@pytest.mark.parametrize(
+    "unit,width", [(1, 60), (1, 30 * 36), (1_000_000, 30 * DAY_US), (977, 97_000), (1, 61), (1, 26), (1, 13), (977, 999_983)]
+)
 @pytest.mark.parametrize("bound", [10, 10**12])
 def test_rolling_methods_agree(spark, monkeypatch, unit, width, bound):
     """One level of buckets, two levels, the plain window and brute force."""
@@ -172,11 +174,13 @@ def brute_asof(left, right, direction, exact, tolerance):
     return result
 
 
-@pytest.mark.parametrize("buckets", [None, (1_000_000, 86_400), (86_400_000_000,), (1_200_000_000, 7, 11)])
+@pytest.mark.parametrize("buckets", [None, "measured", (1_000_000, 86_400), (86_400_000_000,), (1_200_000_000, 7, 11)])
 @pytest.mark.parametrize("direction,exact", [("backward", True), ("backward", False), ("forward", True), ("forward", False)])
 def test_asof_against_brute_force(spark, buckets, direction, exact):
     tolerance = None if buckets in (None, (86_400_000_000,)) else 3_600_000_000
     options = {"method": "window"} if buckets is None else {"method": "bucketed", "buckets": buckets}
+    if buckets == "measured":
+        options = {"hot_rows": 60}
     options |= {"direction": direction, "allow_exact": exact, "tolerance": tolerance}
     rng = random.Random(11)
 
@@ -202,11 +206,11 @@ def test_asof_against_brute_force(spark, buckets, direction, exact):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-@pytest.mark.parametrize("method", ["window", "bucketed"])
+@pytest.mark.parametrize("method", ["window", "bucketed", "measured"])
 def test_asof_keeps_null_payload_and_repeated_left_rows(spark, method):
     left = spark.createDataFrame([(1, "k", 10), (2, "k", 10), (3, "k", 10), (3, "k", 10)], "i long, k string, t long")
     right = spark.createDataFrame([("k", 5, "old"), ("k", 9, None)], "k string, u long, p string")
-    found = asof_join(left, right, ["k"], "t", "u", ["p", "u"], method=method, buckets=(4,))
+    found = asof_join(left, right, ["k"], "t", "u", ["p", "u"], method=method, buckets=(4,), hot_rows=2)
     assert rows(found) == [(1, "k", 10, None, 9), (2, "k", 10, None, 9), (3, "k", 10, None, 9), (3, "k", 10, None, 9)]
 
 
@@ -221,7 +225,7 @@ def brute_bm25(docs, query):
     scores = {}
     for i, words in texts.items():
         counts = Counter(words)
-        for term in query_terms(query):
+        for term in dict.fromkeys(w for w in regex.split(r"[^\p{L}\p{N}]+", query.lower()) if w):
             if counts[term]:
                 df = sum(term in w for w in texts.values())
                 idf = math.log(1 + (n - df + 0.5) / (df + 0.5))

@@ -71,11 +71,22 @@ def test_hot_keys_are_cut(spark):
     text = plan(rolling_range_avg(df, ["k"], "t", "v", 30 * DAY_US, "m"))
     windows = [line for line in text.splitlines() if "- Window [" in line]
     assert windows and all("_bucket" in line for line in windows)
-    joined = asof_join(df, df.selectExpr("k", "t as u", "v as w"), ["k"], "t", "u", ["w"])
+    joined = asof_join(df, df.selectExpr("k", "t as u", "v as w"), ["k"], "t", "u", ["w"], method="bucketed")
     windows = [line for line in plan(joined).splitlines() if "- Window [" in line]
     # Within an hour, and one over the hours of a key.
     assert len(windows) == 2 and sum("_stretch" in line.split("windowspecdefinition(")[1] for line in windows) == 1
-    joined = asof_join(df, df.selectExpr("k", "t as u", "v as w"), ["k"], "t", "u", ["w"], buckets=(1_000_000, 86_400))
+    joined = asof_join(df, df.selectExpr("k", "t as u", "v as w"), ["k"], "t", "u", ["w"], method="bucketed", buckets=(1_000_000, 86_400))
     windows = [line for line in plan(joined).splitlines() if "- Window [" in line]
     # Within a second, within a day of seconds, and one over the days of a key.
     assert len(windows) == 3 and sum("_stretch" in line.split("windowspecdefinition(")[1] for line in windows) == 2
+
+
+def test_only_hot_keys_are_cut_by_measure(spark):
+    """A window and one shuffle where no key is hot; where some are, these alone go by stretches."""
+    events = [(i, "hot" if i % 2 else f"k{i % 20}", ts("2024-01-01")) for i in range(60)]
+    df = spark.createDataFrame(events, "id long, k string, t timestamp_ntz")
+    right = df.selectExpr("k", "t as u", "id as w")
+    text = plan(asof_join(df, right, ["k"], "t", "u", ["w"]))
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("- Window [") == 1
+    text = plan(asof_join(df, right, ["k"], "t", "u", ["w"], hot_rows=50))
+    assert "LeftAnti" in text and "LeftSemi" in text and "_stretch" in text
