@@ -12,6 +12,8 @@ and joins by hash otherwise. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +88,11 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that contain an item. Rows with one id go together; each row without an id is judged by its own text."""
+    """``docs`` without those that contain an item. Rows with one id go together; each row without an id is judged by its own text.
+
+    Columns may have any name and type.
+    """
+    bad_id, bad_digest = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names no column has
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Equal texts hold the same items, so the text's digest names a row without id.
     named = docs.select(
@@ -95,8 +101,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     )
     found = contained_items(named, items, "key", "text").select("doc_id.id", "doc_id.digest").distinct()
     bad = staged(found)
-    of_id = bad.where("id is not null").select(F.col("id").alias("_bad_id"))
-    of_text = bad.where("id is null").select(F.col("digest").alias("_bad_digest"))
-    clean = docs.where(F.col(doc_id).isNotNull()).join(of_id, F.col(doc_id) == F.col("_bad_id"), "left_anti")
-    nameless = docs.where(F.col(doc_id).isNull()).join(of_text, F.sha2(body, 256) == F.col("_bad_digest"), "left_anti")
+    of_id = bad.where("id is not null").select(F.col("id").alias(bad_id))
+    of_text = bad.where("id is null").select(F.col("digest").alias(bad_digest))
+    clean = docs.where(F.col(doc_id).isNotNull()).join(of_id, F.col(doc_id) == F.col(bad_id), "left_anti")
+    nameless = docs.where(F.col(doc_id).isNull()).join(of_text, F.sha2(body, 256) == F.col(bad_digest), "left_anti")
     return clean.unionAll(nameless)

@@ -17,6 +17,7 @@ Bands find a pair at the limit of 0.75 with a chance of 1 - (1 - 0.75^4)^28 = 0.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -315,9 +316,16 @@ def _unsettled(leading: DataFrame, groups: DataFrame, texts: DataFrame, percent:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that with the least id; of repeated rows of it, one."""
-    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.join(kept.withColumnRenamed("doc_id", "_kept_id"), F.col(doc_id) == F.col("_kept_id"), "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(*docs.columns)
-    one = own.withColumn("_place_in_group", F.row_number().over(order)).where("_place_in_group = 1").drop("_place_in_group")
+    """``docs`` with one document of each group: that with the least id; of repeated rows of it, one.
+
+    Of rows with one id the first by their whole content counts. Rows without an id are all
+    kept. Columns may have any name and type.
+    """
+    kept_id, place = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names no column has
+    kept = near_duplicates(docs, doc_id, text).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)).distinct()
+    own = docs.join(kept, F.col(doc_id) == F.col(kept_id), "left_semi")
+    unordered = {f.name for f in docs.schema if "map<" in f.dataType.simpleString()}
+    content = [F.to_json(F.struct(c)) if c in unordered else F.col(c) for c in docs.columns]
+    order = Window.partitionBy(doc_id).orderBy(*content)
+    one = own.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
     return one.unionAll(docs.where(F.col(doc_id).isNull()))
