@@ -38,10 +38,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(docs, tokenizer(WORD_BPE), PACK_END)
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    return packing.pack(docs, tokenizer(WORD_BPE), PACK_END, digest=True)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,16 @@ _STOP = r"([A-Za-z])([.,])"
 # Where lower-casing first could tell: marks that compose with a small letter only, and special strings.
 _NOT_LOWERED = r"\p{M}|<\|"
 _SAFE_SPACE = re.compile("(?<=[!-~]) (?=[!-~])")
+_JOINS, _JOINS_AFTER_SPACE = r"\A[!-~]+\z", r"\A [!-~]([ -~]*[!-~])?\z"
 _loaded: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The encoder of a tokenizer file, loaded once in each worker."""
+def encoder(path: str, known: int = KNOWN) -> PieceEncoder:
+    """The encoder of a tokenizer file, loaded once in each worker. ``known`` pieces are remembered, some 100 bytes each."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _loaded[path] = PieceEncoder(path)
+    _loaded[path].most = known
     return _loaded[path]
 
 
@@ -65,6 +67,7 @@ class PieceEncoder:
         self.keeps_space = _keeps_space(spec)
         self.lowers = "Lowercase" in [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.known: dict[str, bytes] = {}
+        self.most = KNOWN
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more entry than texts). Null is empty."""
@@ -73,8 +76,8 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         pieces, owners = self._pieces(texts)
         coded = pieces.dictionary_encode()
-        parts = self._encode_distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        lengths = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
+        parts = self._encode_distinct(coded.dictionary)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         flat = np.frombuffer(b"".join(parts), np.uint32)
         codes = coded.indices.to_numpy()
         begins = np.concatenate(([0], np.cumsum(lengths)))[codes]
@@ -91,8 +94,8 @@ class PieceEncoder:
             return np.zeros(0, np.int64)
         pieces, owners = self._pieces(texts)
         coded = pieces.dictionary_encode()
-        parts = self._encode_distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        lengths = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
+        parts = self._encode_distinct(coded.dictionary)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         ends = np.concatenate(([0], np.cumsum(lengths[coded.indices.to_numpy()])))
         return np.diff(ends[np.searchsorted(owners, np.arange(len(texts) + 1))])
 
@@ -124,13 +127,13 @@ class PieceEncoder:
         marked = pc.replace_substring(pc.replace_substring(texts, "\n", "\r\n"), " ", "\r ")
         return _lists(pc.split_pattern(marked, "\r"))
 
-    def _encode_distinct(self, pieces: list[str]) -> list[bytes]:
+    def _encode_distinct(self, distinct: pa.Array) -> list[bytes]:
         known = self.known
-        out = [known.get(p) for p in pieces]
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        joins = [self._joins(pieces[i]) for i in missing]
-        together = [i for i, j in zip(missing, joins, strict=True) if j]
-        alone = [i for i, j in zip(missing, joins, strict=True) if not j]
+        pieces = distinct.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(known.get, pieces))
+        missing = np.array([i for i, ids in enumerate(out) if ids is None], np.int64)
+        joins = self._joins(distinct.take(pa.array(missing)))
+        together, alone = missing[joins].tolist(), missing[~joins].tolist()
         for part in _portions(alone, pieces, BATCH_BYTES):
             found = self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)
             for i, encoding in zip(part, found, strict=True):
@@ -138,20 +141,15 @@ class PieceEncoder:
         for part in _portions(together, pieces, BATCH_BYTES):
             for i, ids in zip(part, self._encode_together([pieces[i] for i in part]), strict=True):
                 out[i] = ids
-        for i in missing:
-            if len(known) >= KNOWN:
-                break
+        for i in missing.tolist()[: max(0, self.most - len(known))]:
             if len(pieces[i]) <= KNOWN_BYTES:
                 known[pieces[i]] = out[i]
         return out
 
-    def _joins(self, piece: str) -> bool:
-        """Whether a cut is safe on both sides of the piece among others of its kind: printable ASCII, no special string."""
-        if not (piece.isascii() and piece.isprintable()) or "<|" in piece or not piece:
-            return False
-        if not self.keeps_space:
-            return " " not in piece
-        return len(piece) > 1 and piece[0] == " " and piece[1] != " " and piece[-1] != " "
+    def _joins(self, pieces: pa.Array) -> np.ndarray:
+        """Whether a cut is safe on both sides of a piece among others of its kind: printable ASCII, no special string."""
+        plain = pc.match_substring_regex(pieces, _JOINS_AFTER_SPACE if self.keeps_space else _JOINS)
+        return pc.and_not(plain, pc.match_substring(pieces, "<|")).to_numpy(zero_copy_only=False)
 
     def _encode_together(self, pieces: list[str]) -> Iterator[bytes]:
         """Ids of pieces that join, many to a call: the place where a token begins tells whose it is."""
