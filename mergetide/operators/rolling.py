@@ -128,9 +128,31 @@ def _sliced_sums(
     return _end_sums(rows, by, slice_width, opening)
 
 
-def _instants(facts: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
+def _instants(facts: DataFrame, by: Sequence[str], on: str, value: str, weight: str | None = None) -> DataFrame:
     t = order_key(facts, on).alias("_t")
-    return facts.groupBy(*by, t).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    if weight is None:
+        return facts.groupBy(*by, t).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    counted = F.when(F.col(value).isNotNull(), F.col(weight).cast("long"))
+    return facts.groupBy(*by, t).agg(F.sum(F.col(value) * F.col(weight)).alias("_sum"), F.coalesce(F.sum(counted), F.lit(0)).alias("_n"))
+
+
+def rolling_sums_at(
+    facts: DataFrame,
+    probes: DataFrame,
+    by: Sequence[str],
+    on: str,
+    value: str,
+    width: int,
+    grain: int = 1,
+    weight: str | None = None,
+) -> DataFrame:
+    """The distinct ``probes`` plus ``total`` and ``n``: sum and number of what ``rolling_avg_at`` averages.
+
+    A fact counts ``weight`` times: with -1 it is taken away, as sums that are kept need it.
+    """
+    asked = probes.distinct().withColumn("_at", order_key(probes, on))
+    parts = _frame_sums(_instants(facts, by, on, value, weight), asked, by, width, grain)
+    return parts.groupBy(*probes.columns).agg(F.sum("_sum").alias("total"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
 
 
 def rolling_avg_at(

@@ -79,19 +79,33 @@ def _rolling(
         merged.write.mode("overwrite").parquet(stage)
         merged = latest.sparkSession.read.schema(merged.schema).parquet(stage)
     # A merge day stands for its pull request created last; the average depends on nothing else of it.
-    # Days after the range are never looked up, and of those before it only the last one is, on the first day.
-    first, last = timestamp_lit(start).cast("date"), timestamp_lit(end).cast("date")
-    newest = F.max(F.struct("merged_date", "created_at"))
-    picks = (
-        merged.where(F.col("merged_date") <= last)
-        .groupBy("repo", F.greatest("merged_date", first).alias("seen_from"))
-        .agg(newest.alias("newest"))
-        .select("repo", "seen_from", "newest.created_at")
-    )
+    picks = points_seen(merged, ["created_at"], start, end)
     rolling = rolling_avg_at(
         merged, picks, ["repo"], "created_at", "age_us", ROLLING_DAYS * DAY_US, "mean_us", grain=SECOND_US
     ).select(F.col("repo").alias("merged_repo"), "repo", "seen_from", (F.col("mean_us") / DAY_US).alias("duration"))
 
+    return on_calendar(rolling, calendar_repos, start, end, drop_unmatched)
+
+
+def points_seen(days: DataFrame, of: list[str], start: Moment, end: Moment) -> DataFrame:
+    """``(repo, seen_from, *of)``: from which day of the range on the values ``of`` a merge day can be looked up.
+
+    Of equal days the greatest ``of`` counts. Days after the range never are looked up, and of
+    those before it only the last one is, on the first day.
+    """
+    first, last = timestamp_lit(start).cast("date"), timestamp_lit(end).cast("date")
+    return (
+        days.where(F.col("merged_date") <= last)
+        .groupBy("repo", F.greatest("merged_date", first).alias("seen_from"))
+        .agg(F.max(F.struct("merged_date", *of)).alias("newest"))
+        .select("repo", "seen_from", *[f"newest.{c}" for c in of])
+    )
+
+
+def on_calendar(
+    rolling: DataFrame, calendar_repos: DataFrame, start: Moment, end: Moment, drop_unmatched: bool = False
+) -> DataFrame:
+    """``(day, repo, duration)`` for every day of the range and repository: the last value seen up to it."""
     calendar = with_days(calendar_repos, timestamp_lit(start), timestamp_lit(end))
     # Both sides are down to days per repository here, so a key fits a task.
     matched = asof_join(

@@ -89,9 +89,9 @@ class Current:
         return select_repos(self.settled, repos, excluded).unionByName(chosen)
 
 
-def read_current(spark: SparkSession, store: Store) -> Current:
-    """Latest versions: those kept by the last merges, with what came in since."""
-    seen = commits.parts(spark, store.home)
+def read_current(spark: SparkSession, store: Store, seen: commits.Parts | None = None) -> Current:
+    """Latest versions: those kept by the last merges, with what came in since; or as of an earlier look at the parts."""
+    seen = commits.parts(spark, store.home) if seen is None else seen
     base = _base(spark, store, seen)
     fresh = read_committed(spark, store, PULLS_TABLE, seen.batches)
     touched = fresh.select("url").distinct()

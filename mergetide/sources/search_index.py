@@ -46,16 +46,14 @@ def document_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Counted inside each row: equal words stand side by side in the sorted array, so a run's
     length is its count. No shuffle, and no row per occurrence.
     """
-    sorted_ = docs.select(F.col(id_col).cast("long").alias("id"), F.array_sort(words(text_col)).alias("w"))
+    sorted_ = docs.select(F.col(id_col).cast("long").alias("id"), F.sort_array(words(text_col)).alias("w"))
     # A generator between the steps, so that no later expression is given a copy of the sort.
     sorted_ = sorted_.select("id", F.inline(F.array(F.struct("w", F.size("w").alias("length")))))
-    first = F.filter(
-        F.transform("w", lambda w, i: F.struct(w.alias("term"), i.alias("at"))),
-        lambda x: (x["at"] == 0) | (x["term"] != F.get("w", x["at"] - 1)),
-    )
-    runs = sorted_.select("id", "length", F.inline(F.array(F.struct(first.alias("runs")))))
+    places = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = sorted_.select("id", "length", F.inline(F.array(F.struct("w", first.alias("begins")))))
     counted = F.transform(
-        "runs", lambda x, i: F.struct(x["term"], (F.coalesce(F.get("runs", i + 1)["at"], F.col("length")) - x["at"]).alias("tf"))
+        "begins", lambda at, i: F.struct(F.get("w", at).alias("term"), (F.coalesce(F.get("begins", i + 1), F.col("length")) - at).alias("tf"))
     )
     told = runs.select("id", "length", F.posexplode_outer(counted).alias("place", "x"))
     return told.select("id", "length", F.coalesce("place", F.lit(0)).alias("place"), "x.term", F.col("x.tf").cast("int").alias("tf"))
