@@ -107,18 +107,24 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
 
 
-def noisy_words(docs: DataFrame) -> DataFrame:
-    """The words of whole texts, one in 97 of them, told by a checksum, without one of its code points."""
-    run = F.col("run")
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.word_runs(F.col("text"))).alias("run"))
-    h = F.crc32(F.concat("id", F.lit(":"), run))
+def noisy_words(docs: DataFrame, least_length: int = 1) -> DataFrame:
+    """The words of whole texts, one in 97 of them, told by a checksum, without one of its code points.
+
+    Runs shorter than ``least_length`` are left out before anything is done to them.
+    """
+    run, h = F.col("run"), F.col("h")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    runs = docs.select(name.alias("id"), F.explode(spelling.word_runs(F.col("text"))).alias("run")).where(F.length(run) >= least_length)
+    lowered = runs.select("id", spelling.lowered_run(run).alias("run"))
+    # A generator, so that no filter on the words is given a copy of the checksum.
+    summed = lowered.select(F.inline(F.array(F.struct("run", F.crc32(F.concat("id", F.lit(":"), run)).alias("h")))))
     place = (h % F.length(run)).cast("int")
     cut = F.concat(run.substr(F.lit(1), place), run.substr(place + 2, F.length(run)))
-    return runs.select(F.when(h % 97 == 0, cut).otherwise(run).alias("word"))
+    return summed.select(F.when(h % 97 == 0, cut).otherwise(run).alias("word"))
 
 
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.variants(spelling.count_words(noisy_words(_table(spark, sf_dir, "documents"))))
+    return spelling.variants(spelling.count_words(noisy_words(_table(spark, sf_dir, "documents"), spelling.LEAST_LENGTH)))
 
 
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Spelling variants: words one edit apart, found by a frontier of states moving down a trie.
 
-The trie is a table of its inner nodes: a prefix and, for each character that goes on
-from it, whether a word ends there and which characters follow. Prefixes are their own
-names, so there is nothing to collide. A state is (word, position, node, edits). Level by
-level all states at the nodes of one depth are joined with those nodes and move on: along
-the word, or by one edit. States that have used theirs must follow the word exactly.
+The trie is a table of nodes and their edges. Prefixes are their own names, so there is
+nothing to collide. A state is (word, position, node, edits). Level by level the states at
+the nodes of one depth are joined with the edges of these nodes: those without an edit
+make one, to any child that can go on, and those with one follow the word exactly. An edge
+knows which characters come after it, so that only states with a future are written.
 
 Near the root everything branches, so no edit is made there: an edit in the second half of
 a word is looked for in the trie of words, one in the first half in the trie of reversed
@@ -25,17 +25,22 @@ from pyspark.sql import functions as F
 
 from mergetide.llm.common import ascii_lower, staged
 
-LETTERS = r"[A-Za-zÀ-ÿ]+"
 BREAKS = r"[^A-Za-zÀ-ÿ]+"
 MOST_LEVELS = 64
+LEAST_LENGTH, LEAST_COUNT = 5, 3
 
 
 def word_runs(text: Column) -> Column:
-    """Maximal runs of letters as an array, A-Z lower-cased; null text has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BREAKS), lambda w: w != "")
+    """Maximal runs of letters as an array, as they are written, with empty ones between; null text has none."""
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), BREAKS)
 
 
-def count_words(words: DataFrame, least_length: int = 5, least_count: int = 3, word: str = "word") -> DataFrame:
+def lowered_run(run: Column) -> Column:
+    """A run with A-Z in lower case. Only large letters beyond them would tell this from lower-casing all."""
+    return F.when(run.rlike("[À-ÖØ-Þ]"), ascii_lower(run)).otherwise(F.lower(run))
+
+
+def count_words(words: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, word: str = "word") -> DataFrame:
     """(word, n): words of at least that many code points that occur often enough; null is no word."""
     long_enough = words.select(F.col(word).alias("word")).where(F.length("word") >= least_length)
     return long_enough.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
@@ -63,24 +68,26 @@ def _by_trie(words: DataFrame) -> DataFrame:
             F.struct(F.lit(1).alias("side"), F.reverse("word").alias("s"), (F.length("word") - half).alias("start")),
         )
     )
-    # By depth in folders of their own: each level opens its own files, and runs the same compiled code as the last.
-    oriented = staged(words.select(sides), "start")
+    oriented = staged(words.select(sides))
     deepest, first = oriented.agg(F.max(F.length("s")), F.min("start")).first()
     if deepest is None:
         return spark.createDataFrame([], "word string, near string")
+    # By depth in folders of their own: each level opens its own files, and runs the same compiled code as the last.
+    inner = F.expr("filter(sequence(start, length(s)), d -> d < length(s))")
+    on_path = oriented.select("side", "s", F.explode(inner).alias("depth"))
+    on_path = staged(on_path.select("side", "s", "depth", F.expr("substring(s, 1, depth)").alias("node")), "depth")
     nodes = staged(_trie(oriented, first), "depth")
+    branches = staged(_branches(nodes), "depth")
 
-    pairs, moving = [], spark.createDataFrame([], "side int, s string, pos int, node string, edits int")
+    pairs, moving = [], spark.createDataFrame([], "side int, s string, pos int, node string")
     for depth in range(first, deepest):
-        entering = oriented.where((F.col("start") == depth) & (F.length("s") > F.col("start"))).select(
-            "side", "s", F.col("start").alias("pos"), F.expr("substring(s, 1, start)").alias("node"), F.lit(0).alias("edits")
+        here = on_path.where(F.col("depth") == depth).join(branches.where(F.col("depth") == depth).drop("depth"), ["side", "node"])
+        onward = moving.withColumn("node", F.concat("node", _char(F.col("pos")))).join(
+            nodes.where(F.col("depth") == depth + 1).drop("depth"), ["side", "node"]
         )
-        at = moving.unionAll(entering)
-        here = nodes.where(F.col("depth") == depth).select("side", "node", "ends", "kids")
-        steps = at.join(here, ["side", "node"]).select("side", "s", "node", _moves().alias("moves"))
-        moved = staged(steps.select("side", "s", F.inline("moves")))
-        pairs.append(moved.where((F.col("pos") == F.length("s")) & F.col("ends")).select("side", "s", "node"))
-        moving = moved.where(F.col("pos") < F.length("s")).drop("ends")
+        moved = staged(_edited(here).unionAll(_followed(onward)))
+        pairs.append(moved.where(F.col("pos") == F.length("s")).select("side", "s", "node"))
+        moving = moved.where(F.col("pos") < F.length("s"))
     found = reduce(DataFrame.unionAll, pairs)
     forward = found.select(
         F.when(F.col("side") == 1, F.reverse("s")).otherwise(F.col("s")).alias("word"),
@@ -89,6 +96,41 @@ def _by_trie(words: DataFrame) -> DataFrame:
     return _both_ways(forward)
 
 
+def _char(at: Column) -> Column:
+    """The character of ``s`` at a place from 0; nothing behind its end."""
+    return F.substring("s", at + 1, F.lit(1))
+
+
+def _goes_on(last: Column, char: Column) -> Column:
+    """Whether a state that has used its edit, at a node of which ``ends`` and ``next`` are known, can read the rest of its word."""
+    return F.when(last, F.col("ends")).otherwise(F.contains(F.col("next"), char))
+
+
+def _edited(here: DataFrame) -> DataFrame:
+    """From states without an edit at a node, ``depth`` characters in: those an edit here leads to, if they can go on."""
+    pos, left = F.col("depth"), F.length("s") - F.col("depth")
+    # What a state asks of each kid is worked out once, before its kids.
+    told = here.select(
+        "side", "s", pos.alias("pos"), "node", left.alias("left"), _char(pos).alias("c0"), _char(pos + 1).alias("c1"), _char(pos + 2).alias("c2"), "kids"
+    )
+    at = told.select("side", "s", "pos", "node", "left", "c0", "c1", "c2", F.inline("kids"))
+    c, real = F.col("c"), F.col("c") != ""
+    ended = ~real & (F.col("left") == 1)  # the last character is lost, and a word ends at the node itself
+    replaced = real & (c != F.col("c0")) & _goes_on(F.col("left") == 1, F.col("c1"))
+    deleted = real & (c == F.col("c1")) & _goes_on(F.col("left") == 2, F.col("c2"))
+    moves = at.where(ended | replaced | deleted)
+    read = F.when(deleted & replaced, F.array(F.lit(1), F.lit(2))).when(deleted, F.array(F.lit(2))).otherwise(F.array(F.lit(1)))
+    return moves.select("side", "s", "pos", "node", "c", F.explode(read).alias("n")).select(
+        "side", "s", (F.col("pos") + F.col("n")).alias("pos"), F.concat("node", "c").alias("node")
+    )
+
+
+def _followed(onward: DataFrame) -> DataFrame:
+    """States with an edit behind them, one character further; ``node`` and what is known of it are those of the next one."""
+    pos = F.col("pos")
+    return onward.where(_goes_on(pos + 1 == F.length("s"), _char(pos + 1))).select("side", "s", (F.col("pos") + 1).alias("pos"), "node")
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         F.inline(
@@ -101,57 +143,35 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def _trie(oriented: DataFrame, first: int) -> DataFrame:
-    """(side, depth, node, ends, kids): inner nodes from ``first`` on, their kids as (c, ends, next).
+    """(side, depth, node, ends, next): nodes from ``first`` on, whether a word ends there, and which characters go on.
 
-    ``ends`` says whether a word ends there, ``next`` which characters go on from a kid:
-    no more of them than the alphabet has, at any node.
+    No node has more of them than the alphabet.
     """
-    places = F.sequence(F.lit(first), F.length("s"))
-    prefixes = oriented.select("side", F.col("s"), F.explode(places).alias("depth")).select(
-        "side",
-        F.expr("substring(s, 1, depth)").alias("node"),
-        (F.col("depth") == F.length("s")).alias("end"),
-        F.expr("substring(s, depth + 1, 1)").alias("c"),
-    )
-    known = prefixes.groupBy("side", "node").agg(
-        F.max("end").alias("ends"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("c") != "", F.col("c")))), "").alias("next")
+    prefixes = oriented.select("side", "s", F.explode(F.sequence(F.lit(first), F.length("s"))).alias("depth")).select(
+        "side", F.expr("substring(s, 1, depth)").alias("node"), F.expr("substring(s, depth + 1, 1)").alias("c")
     )
-    known = staged(known)
-    kid = F.struct(F.expr("right(node, 1)").alias("c"), "ends", "next")
-    kids = (
-        known.where(F.length("node") > first)
-        .groupBy("side", F.expr("substring(node, 1, length(node) - 1)").alias("node"))
-        .agg(F.collect_list(kid).alias("kids"))
+    edges = prefixes.distinct()  # a word's end is an edge without a character
+    known = edges.groupBy("side", "node").agg(
+        F.max(F.col("c") == "").alias("ends"), F.array_join(F.collect_list("c"), "").alias("next")
     )
-    return known.select("side", "node", "ends").join(kids, ["side", "node"]).withColumn("depth", F.length("node"))
+    return known.withColumn("depth", F.length("node"))
 
 
-def _moves() -> Column:
-    """Where a state at a node goes: (pos, node, edits, ends), only to places that can go on or end there."""
-    s, node, pos, length = F.col("s"), F.col("node"), F.col("pos"), F.length("s")
+def _branches(nodes: DataFrame) -> DataFrame:
+    """(side, depth, node, kids): the edges of each node together, as (c, ends, next) of where they lead.
 
-    def char(at: Column) -> Column:
-        return s.substr(at + 1, F.lit(1))
-
-    def to(kid: Column, at: Column, edits: Column) -> Column:
-        return F.struct(at.alias("pos"), F.concat(node, kid["c"]).alias("node"), edits.cast("int").alias("edits"), kid["ends"].alias("ends"))
-
-    def alive(kid: Column, at: Column) -> Column:
-        """With its edit used, a state at this kid still has to read the word from ``at`` on."""
-        return F.when(at == length, kid["ends"]).otherwise(F.contains(kid["next"], char(at)))
-
-    def along(at: Column, edits: int) -> Column:
-        match = F.filter("kids", lambda k: (k["c"] == char(at)) & (alive(k, at + 1) if edits else (at + 1 < length)))
-        return F.transform(match, lambda k: to(k, at + 1, F.lit(edits)))
-
-    replaced = F.transform(
-        F.filter("kids", lambda k: (k["c"] != char(pos)) & alive(k, pos + 1)), lambda k: to(k, pos + 1, F.lit(1))
+    Where a word ends there is one more, without a character.
+    """
+    up = F.struct(
+        F.expr("substring(node, 1, length(node) - 1)").alias("node"),
+        F.struct(F.expr("right(node, 1)").alias("c"), F.col("ends"), F.col("next")).alias("kid"),
     )
-    # Without its character the word goes on from this node; the last one's loss may end it here.
-    ended = F.array(F.struct((pos + 1).alias("pos"), node.alias("node"), F.lit(1).alias("edits"), F.col("ends")))
-    deleted = F.when((pos + 1 == length) & F.col("ends"), ended).when(pos + 1 < length, along(pos + 1, 1))
-    none = F.filter(ended, lambda _: F.lit(False))
-    return F.when(F.col("edits") == 1, along(pos, 1)).otherwise(F.concat(along(pos, 0), replaced, F.coalesce(deleted, none)))
+    own = F.struct(F.col("node"), F.struct(F.lit("").alias("c"), F.lit(True).alias("ends"), F.lit("").alias("next")).alias("kid"))
+    below = F.length("node") > 0
+    rows = F.when(below & F.col("ends"), F.array(up, own)).when(below, F.array(up)).when(F.col("ends"), F.array(own))
+    edges = nodes.select("side", F.inline(rows))
+    kids = edges.groupBy("side", "node").agg(F.collect_list("kid").alias("kids"))
+    return kids.withColumn("depth", F.length("node"))
 
 
 def _by_places(words: DataFrame) -> DataFrame:
