@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -54,9 +55,8 @@ ATTRIBUTE_WORDS = {
     "form": "form login signup search contact share social sharing",
 }
 _WORDS = {w: i for i, words in enumerate(ATTRIBUTE_WORDS.values()) for w in words.split()}
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>|[^<]+|<""", re.S
-)
+_SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG_START = re.compile(r"<(/?)(?=[a-zA-Z])")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 # An opening tag of the key closes open elements of these kinds first.
@@ -80,6 +80,42 @@ class Node:
     blocks: list[int] = field(default_factory=list)
 
 
+class Tags:
+    """Where tags end, found in linear time on any page.
+
+    Only three characters decide: a tag ends at the first > outside quotes behind its name.
+    They are listed once; those from which no end can be reached are remembered, so that no
+    stretch without one is gone through again for the next <.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stops = [m.start() for m in re.finditer("[>\"']", page)]
+        self.name_ends = [m.start() for m in re.finditer(r"[\s/>]", page)]
+        self.last = {mark: page.rfind(mark) for mark in "\"'>"}
+        self.dead: set[int] = set()
+
+    def name_end(self, at: int) -> int:
+        i = bisect_left(self.name_ends, at)
+        return self.name_ends[i] if i < len(self.name_ends) else len(self.page)
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at ``at``; -1 if there is none."""
+        passed = []
+        while (i := bisect_left(self.stops, at)) < len(self.stops):
+            stop = self.stops[i]
+            mark = self.page[stop]
+            if mark == ">":
+                return stop
+            if stop in self.dead or self.last[mark] <= stop:
+                passed.append(stop)
+                break
+            passed.append(stop)
+            at = self.page.find(mark, stop + 1) + 1
+        self.dead.update(passed)
+        return -1
+
+
 def parse(page: str) -> tuple[list[Node], list[str], list[int]]:
     """Nodes in page order (the root first), the texts of blocks, and each block's node."""
     nodes = [Node("html", [], -1, 0, False)]
@@ -108,24 +144,43 @@ def parse(page: str) -> tuple[list[Node], list[str], list[int]]:
         if any(t in BLOCKS for t, _ in stack[depth:]):
             close_run()
         for t, _ in stack[depth:]:
+            open_names[t] -= 1
             links -= t == "a"
             silent -= t in SILENT
         del stack[depth:]
 
-    at = 0
+    def add_text(piece: str) -> None:
+        nonlocal run_linked
+        if not silent:
+            run.append(piece)
+            run_linked += len(piece) if links else 0
+
+    at, tags, open_names = 0, Tags(page), Counter(["html"])
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                if not silent:
-                    run.append(piece)
-                    run_linked += len(piece) if links else 0
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = end if end >= 0 else len(page)
+            add_text(page[at:end])
+            at = end
+            continue
+        if skipped := _SKIPPED.match(page, at):
+            at = skipped.end()
             continue
+        start = _TAG_START.match(page, at)
+        named = tags.name_end(start.end()) if start else -1
+        end = tags.end(named) if start else -1
+        if end < 0:
+            # Behind the last > nothing but a comment is left to find.
+            end = at + 1 if at < tags.last[">"] else min((i for i in (page.find("<!", at), page.find("<?", at)) if i > at), default=len(page))
+            add_text(page[at:end])
+            at = end
+            continue
+        name, closed = page[start.end() : named], end > named and page[end - 1] == "/"
+        attributes, at = page[named : end - closed], end + 1
         name = name.lower()
-        if m[1]:
+        if start[1]:
+            if not open_names[name]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     pop_to(i)
@@ -146,7 +201,7 @@ def parse(page: str) -> tuple[list[Node], list[str], list[int]]:
             continue
         if name in VOID and name != "hr":
             continue
-        if name in ("html", "body") and any(t == name for t, _ in stack):
+        if name in ("html", "body") and open_names[name]:
             continue
         if name in BLOCKS:
             for i in range(len(stack) - 1, 0, -1):
@@ -159,14 +214,16 @@ def parse(page: str) -> tuple[list[Node], list[str], list[int]]:
             close_run()
             if name == "hr":
                 continue
-            words = [_WORDS[w] for a in _ATTRIBUTE.findall(m[3]) for w in _WORD.findall("".join(a).lower()) if w in _WORDS]
+            words = [_WORDS[w] for a in _ATTRIBUTE.findall(attributes) for w in _WORD.findall("".join(a).lower()) if w in _WORDS]
             parent = stack[-1][1]
             nodes.append(Node(name, words, parent, nodes[parent].depth + 1, silent > 0, len(nodes[parent].children)))
             nodes[parent].children.append(len(nodes) - 1)
-            if not m[4]:
+            if not closed:
                 stack.append((name, len(nodes) - 1))
-        elif not m[4]:
+                open_names[name] += 1
+        elif not closed:
             stack.append((name, stack[-1][1]))
+            open_names[name] += 1
             links += name == "a"
             silent += name in SILENT
     pop_to(0) if len(stack) else None

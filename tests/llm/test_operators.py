@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -308,6 +309,17 @@ def test_siblings_are_told_by_place_and_tag_at_any_number(n):
     assert x[below, -5] == pytest.approx([n / (n + 1)] * n + [1 / (n + 1)])
 
 
+@pytest.mark.parametrize("unit", ["<p", "a <b c ", '<a "', "<a '\" ", '<p "x', "<p<p ", "</i><b>", "<x>", "<body>", "\"<p>'"])
+def test_pages_are_parsed_in_linear_time(unit):
+    """A megabyte of broken markup, with and without a tag's end far behind it."""
+    for end in ("", '>"', "</p>"):
+        page = unit * (1_000_000 // len(unit)) + end
+        began = time.perf_counter()
+        html_text.parse(page)
+        assert time.perf_counter() - began < 15
+    assert html_text.parse('x <b c="1>2" d=\'>\'/>y</b> < z <!-- <p> --><q')[1] == ["x y < z <q"]
+
+
 def test_registry():
     names = entry.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
