@@ -16,7 +16,6 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,6 +55,8 @@ ATTRIBUTE_WORDS = {
 }
 _WORDS = {w: i for i, words in enumerate(ATTRIBUTE_WORDS.values()) for w in words.split()}
 _SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_STOP = re.compile("[>\"']")
+_NAME_REST = re.compile(r"[^\s/>]*")
 _TAG_START = re.compile(r"<(/?)(?=[a-zA-Z])")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -84,34 +85,39 @@ class Tags:
     """Where tags end, found in linear time on any page.
 
     Only three characters decide: a tag ends at the first > outside quotes behind its name.
-    They are listed once; those from which no end can be reached are remembered, so that no
-    stretch without one is gone through again for the next <.
+    What lies between a place and the next of them is gone through once, and those from
+    which no end can be reached are remembered, so that no stretch without an end is
+    searched again for the next <.
     """
 
     def __init__(self, page: str):
         self.page = page
-        self.stops = [m.start() for m in re.finditer("[>\"']", page)]
-        self.name_ends = [m.start() for m in re.finditer(r"[\s/>]", page)]
         self.last = {mark: page.rfind(mark) for mark in "\"'>"}
         self.dead: set[int] = set()
+        self.name = self.first = (0, -1)  # the stretch looked through last, up to what ends it
 
     def name_end(self, at: int) -> int:
-        i = bisect_left(self.name_ends, at)
-        return self.name_ends[i] if i < len(self.name_ends) else len(self.page)
+        if not self.name[0] <= at <= self.name[1]:
+            self.name = (at, _NAME_REST.match(self.page, at).end())
+        return self.name[1]
 
     def end(self, at: int) -> int:
         """The place of the > that ends a tag whose name ends at ``at``; -1 if there is none."""
-        passed = []
-        while (i := bisect_left(self.stops, at)) < len(self.stops):
-            stop = self.stops[i]
-            mark = self.page[stop]
-            if mark == ">":
-                return stop
-            if stop in self.dead or self.last[mark] <= stop:
-                passed.append(stop)
-                break
+        if at > self.last[">"]:
+            return -1
+        if not self.first[0] <= at <= self.first[1]:
+            self.first = (at, _STOP.search(self.page, at).start())
+        stop, passed = self.first[1], []
+        while self.page[stop] != ">":
             passed.append(stop)
-            at = self.page.find(mark, stop + 1) + 1
+            if stop in self.dead or self.last[self.page[stop]] <= stop:
+                break
+            found = _STOP.search(self.page, self.page.find(self.page[stop], stop + 1) + 1)
+            if not found:
+                break
+            stop = found.start()
+        else:
+            return stop
         self.dead.update(passed)
         return -1
 
