@@ -18,10 +18,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def staged(df: DataFrame, *partitions: str) -> DataFrame:
     """The rows written to a fresh shared folder and read back: computed once, lineage cut, sizes known to the planner.
 
-    With ``partitions`` a read that asks for some of their values opens no other files.
+    With ``partitions`` a read that asks for some of their values opens no other files; deal the
+    rows out by them first, or every task writes a file for each value it holds.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    writer = df.hint("rebalance", *partitions).write.partitionBy(*partitions) if partitions else df.write
+    writer = df.write.partitionBy(*partitions) if partitions else df.write
     writer.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,7 @@ from mergetide.llm.common import ascii_lower, staged
 BREAKS = r"[^A-Za-zÀ-ÿ]+"
 MOST_LEVELS = 64
 LEAST_LENGTH, LEAST_COUNT = 5, 3
+DEPTH_ROWS = 4_000_000  # characters of all words for each file of a level; a level holds a fraction of them
 
 
 def word_runs(text: Column) -> Column:
@@ -69,15 +70,21 @@ def _by_trie(words: DataFrame) -> DataFrame:
         )
     )
     oriented = staged(words.select(sides))
-    deepest, first = oriented.agg(F.max(F.length("s")), F.min("start")).first()
+    deepest, first, rows = oriented.agg(F.max(F.length("s")), F.min("start"), F.sum(F.length("s"))).first()
     if deepest is None:
         return spark.createDataFrame([], "word string, near string")
+
+    def by_depth(df: DataFrame, key: str) -> DataFrame:
+        """A folder for each depth, of as many files as its rows need: there are ``rows`` at most, over all depths."""
+        parts = F.lit(1 + rows // DEPTH_ROWS)
+        return staged(df.repartition("depth", F.pmod(F.xxhash64(key), parts)), "depth")
+
     # By depth in folders of their own: each level opens its own files, and runs the same compiled code as the last.
     inner = F.expr("filter(sequence(start, length(s)), d -> d < length(s))")
     on_path = oriented.select("side", "s", F.explode(inner).alias("depth"))
-    on_path = staged(on_path.select("side", "s", "depth", F.expr("substring(s, 1, depth)").alias("node")), "depth")
-    nodes = staged(_trie(oriented, first), "depth")
-    branches = staged(_branches(nodes), "depth")
+    on_path = by_depth(on_path.select("side", "s", "depth", F.expr("substring(s, 1, depth)").alias("node")), "s")
+    nodes = by_depth(_trie(oriented, first), "node")
+    branches = by_depth(_branches(nodes), "node")
 
     pairs, moving = [], spark.createDataFrame([], "side int, s string, pos int, node string")
     for depth in range(first, deepest):
