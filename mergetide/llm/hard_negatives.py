@@ -84,12 +84,12 @@ def hard_negatives(
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
 
     anchors = rows.where(is_anchor)
-    kept = _first(_search(candidates, anchors, last, groups, n_positives, 0, 0), ["anchor_id"], n_positives)
+    kept = _first(_search(candidates, anchors, last, n_positives, 0, 0), ["anchor_id"], n_positives)
     one_each = kept.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("p"))  # n_positives at most
     windows = anchors.join(one_each, F.col("vec_id") == F.col("anchor_id")).select(
         "vec_id", "label", "v", F.col("p.vec_id").alias("p_ids"), F.col("p.score").alias("p_scores")
     )
-    found = _search(candidates, staged(windows), last, groups, n_negatives, low, high)
+    found = _search(candidates, staged(windows), last, n_negatives, low, high)
     ranked = _first(found, ["anchor_id", "positive_id", "positive_score"], n_negatives)
     return ranked.select(
         "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
@@ -151,7 +151,7 @@ def _matrix(vectors: pa.Array, least: int) -> np.ndarray:
     return out
 
 
-def _search(candidates: DataFrame, anchors: DataFrame, last: int, groups: int, most: int, low: int, high: int) -> DataFrame:
+def _search(candidates: DataFrame, anchors: DataFrame, last: int, most: int, low: int, high: int) -> DataFrame:
     """The first rows of each group for each anchor (and window). Without p_ids those of the anchor's own label are meant."""
     nothing = F.lit(None).cast("array<bigint>")
     ids, scores = (F.col(c) if c in anchors.columns else nothing for c in ("p_ids", "p_scores"))
@@ -159,7 +159,8 @@ def _search(candidates: DataFrame, anchors: DataFrame, last: int, groups: int, m
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("g"), F.lit(1).alias("kind"), F.col("vec_id").alias("part"),
         "vec_id", "label", "v", ids.alias("p_ids"), scores.alias("p_scores"),
     )
-    met = candidates.unionByName(everywhere, allowMissingColumns=True).repartition(groups, "g").sortWithinPartitions("g", "kind", "part")
+    met = candidates.unionByName(everywhere, allowMissingColumns=True).repartitionById(last + 1, F.col("g").cast("int"))
+    met = met.sortWithinPartitions("g", "kind", "part")
     return met.mapInArrow(_meet(most, low, high), _FOUND)
 
 
