@@ -31,6 +31,9 @@ from mergetide.llm.common import file_system, new_folder, staged
 from mergetide.llm.token_counts import by_bytes
 
 BLOCK_LINES = 2000
+# What a task takes: blocks to write, bytes of archives to read. Entries are small and say nothing about the pages.
+TASK_BLOCKS, TASK_BYTES, LEAST_ROWS = 10, 1 << 24, 1000
+_DIRECTORY = "first_key string, file string, offset long, length long, n long, bytes long"
 _ENTRY = "key string, page_id long, url string, file string, offset long, length long"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -139,41 +142,41 @@ def write_archives(
 
     entries = staged(joined.select("page_id", "url", "payload", "digest", first).mapInArrow(write, _ENTRY))
     order = ["key", "page_id", "file", "offset"]
-    directory = entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        _write_index(folder), "first_key string, file string, offset long, length long, n long"
-    )
+    tasks = 1 + entries.count() // (TASK_BLOCKS * BLOCK_LINES)
+    directory = entries.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_write_index(folder), _DIRECTORY)
     return Archive(folder, staged(directory))
 
 
 def _write_index(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[str] = []
-        stream, at, name, rows, first = None, 0, f"{uuid.uuid4().hex}.idx", [], ""
+        stream, at, name, rows, first, size = None, 0, f"{uuid.uuid4().hex}.idx", [], "", 0
 
         def flush() -> None:
-            nonlocal stream, at, lines
+            nonlocal stream, at, lines, size
             if stream is None:
                 system, path = file_system(folder)
                 system.create_dir(path, recursive=True)
                 stream = system.open_output_stream(f"{path}/{name}", compression=None)
             block = zlib.compress("\n".join(lines).encode())
             stream.write(block)
-            rows.append((first, name, at, len(block), len(lines)))
+            rows.append((first, name, at, len(block), len(lines), size))
             at += len(block)
-            lines = []
+            lines, size = [], 0
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if not lines:
                     first = row[0]
                 lines.append(json.dumps(row))
+                size += row[5]
                 if len(lines) == BLOCK_LINES:
                     flush()
         if lines:
             flush()
         if stream is not None:
             stream.close()
-            yield _batch(rows, ("first_key", "file", "offset", "length", "n"), "first_key string, file string, offset long, length long, n long")
+            yield _batch(rows, ("first_key", "file", "offset", "length", "n", "bytes"), _DIRECTORY)
 
     return run
 
@@ -222,9 +225,13 @@ def read_archives(archive: Archive) -> DataFrame:
         if file is not None:
             file.close()
 
-    # A few ranges of one archive to a task, in order, so that archives are read forward.
+    # A few ranges of one archive to a task, in order, so that archives are read forward; as many tasks as there are
+    # bytes in the archives for, or cores if those would be idle.
+    n, size = archive.directory.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = archive.directory.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1 + size // TASK_BYTES, min(cores, n // LEAST_ROWS))
     ranges = index_entries(archive).select("url", "file", "offset", "length")
-    dealt = ranges.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    dealt = ranges.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, _READ)
 
 
