@@ -37,7 +37,7 @@ def _base(spark: SparkSession, store: Store, seen: commits.Parts, only: list[int
         for name in files.names(f"{LATEST_TABLE}/part={part}"):
             last[int(name.partition("=")[2])] = f"{store.home}/{LATEST_TABLE}/part={part}/{name}"
     paths = [path for bucket, path in sorted(last.items()) if only is None or bucket in only]
-    empty = spark.createDataFrame([], LATEST)
+    empty = spark.createDataFrame([], LATEST).limit(0)  # as in ``read_parts``
     if not paths:
         return empty
     return spark.read.schema(LATEST).parquet(*paths).select(*empty.columns)
@@ -74,10 +74,14 @@ class Current:
 
     settled: DataFrame
     open: DataFrame
+    both: DataFrame
 
     def versions(self) -> DataFrame:
-        """For any metric in place of ``pulls``: nothing it would use is missing, superseded versions are."""
-        return self.settled.unionByName(self.open)
+        """For any metric in place of ``pulls``: nothing it would use is missing, superseded versions are.
+
+        As read, without the joins that tell settled rows from open ones.
+        """
+        return self.both
 
     def latest(self, repos: Repos | None = None, excluded: Repos | None = None) -> DataFrame:
         """The same as ``metrics.latest_pulls`` over all versions.
@@ -98,7 +102,11 @@ def read_current(spark: SparkSession, store: Store, seen: commits.Parts | None =
     alone = base.where(~F.col("shared"))
     settled = alone.join(touched, "url", "left_anti").drop("shared")
     compared = base.where("shared").unionByName(alone.join(touched, "url", "left_semi")).drop("shared")
-    return Current(settled.select(*fresh.columns), compared.select(*fresh.columns).unionByName(fresh))
+    return Current(
+        settled.select(*fresh.columns),
+        compared.select(*fresh.columns).unionByName(fresh),
+        base.select(*fresh.columns).unionByName(fresh),
+    )
 
 
 def remove_merged(spark: SparkSession, store: Store) -> int:

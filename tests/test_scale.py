@@ -6,16 +6,20 @@ import json
 from datetime import datetime
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from mergetide.schemas import LANDED_PAGE
+from mergetide.functions.json_shred import JsonField, shred
+from mergetide.schemas import LANDED_PAGE, PULL_FIELDS
 from mergetide.session import configure
 from mergetide.sources import ingest
 from mergetide.sources.commits import claim_number
+from mergetide.sources.compaction import merge_batches, read_current
 from mergetide.sources.ingest import ingest_once, set_aside
 from mergetide.sources.landing import land_files, read_landed
 from mergetide.sources.order_pages import order_pages
 from mergetide.sources.tables import Store, read_failed, read_raw
-from tests.helpers import plan
+from tests.helpers import plan, pr, rows
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz"
 
@@ -93,3 +97,36 @@ def test_pages_set_aside_are_not_shuffled_by_their_batch(spark, tmp_path):
     set_aside(_landed(spark), store, claim_number(spark, store.home, "test"), "out of reach")
     assert "Exchange" not in plan(read_failed(spark, store))
     assert read_failed(spark, store).count() == 3
+
+
+def _landed_pulls(spark, number, *items):
+    page = (f"run-{number}", "o", "r", 1, "e", f"2024-01-0{number}T00:00:00Z", json.dumps(items))
+    return spark.createDataFrame([page], LANDED_PAGE)
+
+
+def test_an_item_is_read_once_for_all_its_members(spark):
+    body = json.dumps([pr(1, "2024-01-01T00:00:00Z"), pr(2, "2024-01-02T00:00:00Z", base=None)])
+    pages = spark.createDataFrame([(body,)], "body string")
+    for on_error in ("raise", "report"):
+        items = shred(pages, "body", PULL_FIELDS, on_error=on_error)
+        assert "try_variant_get" in items._jdf.queryExecution().analyzed().toString()
+        assert [(r.item_pos, r.name, r.login, r.closed_at) for r in items.orderBy("item_pos").collect()] == [(0, "r", "o", None), (1, None, None, None)]
+
+
+def test_members_within_others_and_differing_by_case(spark):
+    fields = [JsonField(f"f{n}", path, "string") for n, path in enumerate(("a", "a.b", "c.d", "C.e", "g", "g.h`i"))]
+    pages = spark.createDataFrame([('[{"a": {"b": 1}, "c": {"d": "x"}, "C": {"e": null}, "g": {"h`i": [1]}}]',), ('[{"a": {"b": 1}}]',)], "body string")
+    good, bad = shred(pages, "body", fields, on_error="report").orderBy(F.desc("f0")).collect()
+    assert good[1:] == ('{"b":1}', "1", "x", None, '{"h`i":[1]}', "[1]", None) and bad.error == "missing key c.d"
+
+
+def test_versions_are_read_without_joins(spark, tmp_path):
+    store = Store(str(tmp_path), buckets=2)
+    for number, items in enumerate([[pr(1, "2024-01-01T00:00:00Z"), pr(2, "2024-01-01T00:00:00Z")], [pr(2, "2024-01-01T00:00:00Z", "2024-01-03T00:00:00Z")]], 1):
+        ingest.ingest_batch(_landed_pulls(spark, number, *items), store, number)
+        if number == 1:
+            merge_batches(spark, store)
+    current = read_current(spark, store)
+    assert "Join" not in plan(current.versions())
+    assert rows(current.versions().select("url", "updated_at")) == rows(current.settled.unionByName(current.open).select("url", "updated_at"))
+    assert current.versions().count() == 3
