@@ -130,3 +130,20 @@ def test_versions_are_read_without_joins(spark, tmp_path):
     assert "Join" not in plan(current.versions())
     assert rows(current.versions().select("url", "updated_at")) == rows(current.settled.unionByName(current.open).select("url", "updated_at"))
     assert current.versions().count() == 3
+
+
+def test_sound_pages_are_not_read_to_be_set_aside(spark, tmp_path, monkeypatch):
+    store, written = Store(str(tmp_path)), {}
+
+    def write(df, store, table, batch_id):
+        written[table] = plan(df)
+        write_batch(df, store, table, batch_id)
+
+    write_batch = ingest.write_batch
+    monkeypatch.setattr(ingest, "write_batch", write)
+    page = _landed_pulls(spark, 1, pr(1, "2024-01-01T00:00:00Z"))
+    set_aside(page, store, 1, "tried before")
+    (tmp_path / "commits/b0000001").unlink()
+    ingest.ingest_batch(page, store, 1, "isolate")
+    assert "Join" not in written[ingest.FAILED_TABLE] and read_failed(spark, store).count() == 0
+    assert read_raw(spark, store).count() == 1
