@@ -105,7 +105,8 @@ def update_points(spark: SparkSession, store: Store) -> bool:
         *DAY, "created_at", (F.coalesce("total", F.lit(0)) + F.coalesce("_total", F.lit(0))).alias("total"), (F.col("n") + F.col("_n")).alias("n")
     )
 
-    merges = _merges(read_current(spark, store, stored).latest())
+    # Needed twice: the latest versions are told from the others once.
+    merges = staged(_merges(read_current(spark, store, stored).latest()), "merges")
     picks = merges.join(days, DAY, "left_semi").groupBy(*DAY).agg(F.max("created_at").alias("created_at"))
     picks = staged(picks, "picks")
     anew = rolling_sums_at(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mergetide.functions.json_shred import JsonField, shred
+from mergetide.plans.rolling_state import update_points
 from mergetide.schemas import LANDED_PAGE, PULL_FIELDS
 from mergetide.session import configure
 from mergetide.sources import ingest
@@ -147,3 +148,11 @@ def test_sound_pages_are_not_read_to_be_set_aside(spark, tmp_path, monkeypatch):
     ingest.ingest_batch(page, store, 1, "isolate")
     assert "Join" not in written[ingest.FAILED_TABLE] and read_failed(spark, store).count() == 0
     assert read_raw(spark, store).count() == 1
+
+
+def test_latest_merges_are_told_once_in_an_update(spark, tmp_path):
+    store = Store(str(tmp_path))
+    ingest.ingest_batch(_landed_pulls(spark, 1, pr(1, "2024-01-01T00:00:00Z", closed="2024-01-02T00:00:00Z", merged="2024-01-02T00:00:00Z")), store, 1)
+    assert update_points(spark, store)
+    (kept,) = (tmp_path / "rolling/staged").glob("*/merges")
+    assert spark.read.parquet(str(kept)).count() == 1
